@@ -1,0 +1 @@
+"""Left empty on purpose: the engine's model has no streams, watermarks or state."""
