@@ -6,27 +6,53 @@ from pyspark.sql import functions as F
 
 from labelgrid.llm.common import table
 from labelgrid.llm.lines import drop_recurring_lines
+from labelgrid.llm.media import DIGEST, page_digest, texts_as_media, tiff_pages
+from labelgrid.llm.packing import pack
 from labelgrid.llm.sharding import extendible_shards
 from labelgrid.llm.sketches import edited_documents
+from labelgrid.llm.toxicity import CATEGORIES, THRESHOLD, chain_labels, score, train
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 8 << 20
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op5_line_templates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_recurring_lines(docs)
     return out.select("doc_id", F.col("lines_total").cast("long").alias("n_lines"), F.col("lines_dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = train(docs, chain_labels(table(spark, sf_dir, "labels")), CATEGORIES)
+    return score(docs, chain).select("doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+
+
 def op8_fingerprints(spark, sf_dir):
     return edited_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_tiff(spark, sf_dir):
+    media = texts_as_media(table(spark, sf_dir, "documents"))
+    kept = ["doc_id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256"]
+    pages = tiff_pages(media, "media", kept, page_digest, DIGEST)  # one page a document
+    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "compression")
+
+
 def op10_extendible_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return extendible_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).drop("oversized")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_templates, op8_fingerprints, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_line_templates, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
 ORACLES = {}
