@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,16 +26,21 @@ FOLDS = 5
 BUCKETS = 1 << 18
 #: A feature needs this many training documents.
 MIN_DOCS = 3
+#: Features a model keeps.
+KEPT = 2048
 THRESHOLD = 0.5
-ROUNDS = 40
+#: Words whose features a worker remembers.
+KNOWN = 800_000
+ROUNDS, PENALTY = 120, 1e-5
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> list[int]:
     """Buckets of a word, of its first 3 to 6 letters and its last 3."""
-    parts = ["w" + word, *["p" + word[:n] for n in (3, 4, 5, 6) if len(word) >= n], "s" + word[-3:]]
-    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
+    raw = word.encode()
+    parts = [b"w" + raw, *[b"p" + word[:n].encode() for n in (3, 4, 5, 6) if len(word) >= n], b"s" + word[-3:].encode()]
+    return [zlib.crc32(p) % BUCKETS for p in parts]
 
 
 @dataclass
@@ -61,32 +65,47 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(docs, feats, values, dense, y, n_feats, penalty=2e-5):
-    """L2 logistic regression of sparse counts (docs, feats, values) and dense columns, by diagonal AdaGrad over all rows."""
+def informative(docs, feats, y, n_feats: int) -> np.ndarray:
+    """The KEPT features whose presence differs most between the classes (chi-square)."""
+    n, pos = len(y), y.sum()
+    both = np.bincount(feats, y[docs], n_feats)
+    seen = np.bincount(feats, minlength=n_feats)
+    spread = seen * (n - seen) * max(pos * (n - pos), 1e-9)
+    score = np.where(seen >= MIN_DOCS, (n * both - seen * pos) ** 2 / np.maximum(spread, 1e-9), -1)
+    top = np.argsort(-score, kind="stable")[:KEPT]
+    return top[score[top] > 0]
+
+
+def fit_linear(docs, feats, dense, y, n_feats):
+    """L2 logistic regression of feature presence (pairs of docs, feats) and dense columns, by AdaGrad over all rows."""
     n = len(y)
     w, u = np.zeros(n_feats), np.zeros(dense.shape[1] + 1)
-    gw, gu = np.full(n_feats, 1e-8), np.full(len(u), 1e-8)
-    full = np.column_stack([dense, np.ones(n)])
     rate = y.mean() if n else 0.0
     u[-1] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
-    for _ in range(ROUNDS if 0 < rate < 1 else 0):
-        margin = np.bincount(docs, w[feats] * values, n) + full @ u
-        miss = sigmoid(margin) - y
-        d = np.bincount(feats, miss[docs] * values, n_feats) / n + penalty * w
+    if not 0 < rate < 1:
+        return w, u[:-1], u[-1]
+    top = informative(docs, feats, y, n_feats)
+    place = np.full(n_feats, -1)
+    place[top] = np.arange(len(top))
+    part = place[feats] >= 0
+    docs, feats = docs[part], place[feats[part]]
+    v, gv, gu = np.zeros(len(top)), np.full(len(top), 1e-8), np.full(len(u), 1e-8)
+    full = np.column_stack([dense / 10, np.ones(n)])
+    for _ in range(ROUNDS):
+        miss = sigmoid(np.bincount(docs, v[feats], n) + full @ u) - y
+        d = np.bincount(feats, miss[docs], len(top)) / n + PENALTY * v
         e = full.T @ miss / n
-        gw += d * d
+        gv += d * d
         gu += e * e
-        w -= 0.5 * d / np.sqrt(gw)
+        v -= 0.2 * d / np.sqrt(gv)
         u -= 0.1 * e / np.sqrt(gu)
-    return w, u[:-1], u[-1]
+    w[top] = v
+    return w, u[:-1] / 10, u[-1]
 
 
-def fit_chain(names: list[str], docs, feats, values, labels: np.ndarray, folds: np.ndarray) -> Chain:
+def fit_chain(names: list[str], docs, feats, labels: np.ndarray, folds: np.ndarray) -> Chain:
     """Fit all categories; ``labels`` documents x categories, NaN where unknown."""
     n = len(labels)
-    seen = np.bincount(feats, minlength=BUCKETS) >= MIN_DOCS
-    keep = seen[feats]
-    docs, feats, values = docs[keep], feats[keep], values[keep]
     used, feats = np.unique(feats, return_inverse=True)
     weights, links, bias = np.zeros((len(names), BUCKETS)), np.zeros((len(names), len(names))), np.zeros(len(names))
     earlier = np.zeros((n, 0))
@@ -94,7 +113,7 @@ def fit_chain(names: list[str], docs, feats, values, labels: np.ndarray, folds:
     def fit(rows, y, dense):
         place = np.cumsum(rows) - 1
         part = rows[docs]
-        return fit_linear(place[docs[part]], feats[part], values[part], dense[rows], y[rows], len(used))
+        return fit_linear(place[docs[part]], feats[part], dense[rows], y[rows], len(used))
 
     for k in range(len(names)):
         y = labels[:, k]
@@ -102,7 +121,7 @@ def fit_chain(names: list[str], docs, feats, values, labels: np.ndarray, folds:
         odds = np.zeros(n)
         for f in range(FOLDS):
             w, u, b = fit(known & (folds != f), y, earlier)
-            margin = np.bincount(docs, w[feats] * values, n) + earlier @ u + b
+            margin = np.bincount(docs, w[feats], n) + earlier @ u + b
             odds[folds == f] = margin[folds == f]
         w, u, b = fit(known, y, earlier)
         weights[k, used], links[k, :k], bias[k] = w, u, b
@@ -113,7 +132,7 @@ def fit_chain(names: list[str], docs, feats, values, labels: np.ndarray, folds:
 def train(documents: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """Fit a chain from ``labels`` (id and one 0/1 column per name; NULL: unknown).
 
-    At most ``sample`` labelled documents, those of the smallest hash of the id, are gathered, as feature counts.
+    At most ``sample`` labelled documents, those of the smallest hash of the id, are gathered, as feature numbers.
     With no usable label a category's probability is its prior.
     """
     picked = labels.select(F.col(id_col).alias("id"), *[F.col(n).cast("double").alias(n) for n in names]).where(F.col("id").isNotNull())
@@ -122,20 +141,19 @@ def train(documents: DataFrame, labels: DataFrame, names: list[str], id_col: str
 
     def count(batches):
         for batch in batches:
-            rows = [Counter(b for w in set(WORD.findall(t.lower())) for b in word_features(w)) for t in texts(batch)]
-            yield pa.record_batch([batch.column("id"), *[batch.column(n) for n in names], pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["id", *names, "f", "v"])
+            rows = [sorted({b for w in set(WORD.findall(t.lower())) for b in word_features(w)}) for t in texts(batch)]
+            yield pa.record_batch([batch.column("id"), *[batch.column(n) for n in names], pa.array(rows, pa.list_(pa.int32()))], names=["id", *names, "f"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"`{n}` double" for n in names) + ", f array<int>, v array<int>"
+    schema = f"id {kind}, " + ", ".join(f"`{n}` double" for n in names) + ", f array<int>"
     got = joined.select("id", *names, "text").mapInArrow(count, schema).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(FOLDS)).cast("int"))
     got = got.orderBy("id").toArrow()
     feats = got.column("f").combine_chunks()
     sizes = np.diff(feats.offsets.to_numpy()) if got.num_rows else np.zeros(0, "int64")
     docs = np.repeat(np.arange(got.num_rows), sizes)
     flat = feats.flatten().to_numpy(zero_copy_only=False).astype("int64")
-    values = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64")
     y = np.column_stack([got.column(n).to_numpy().astype("float64") for n in names]) if got.num_rows else np.zeros((0, len(names)))
-    return fit_chain(names, docs, flat, values, y, got.column("fold").to_numpy())
+    return fit_chain(names, docs, flat, y, got.column("fold").to_numpy())
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,24 +166,25 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
     token = f"toxicity {zlib.crc32(chain.weights.tobytes())} {chain.bias.tolist()}"
 
     def predict(batches):
-        known = per_worker(token, dict)  # word -> its summed weights
-        width = len(chain.names)
-
+        # Words met so far, and the weighted features of those that have any.
+        met, telling = per_worker(token, lambda: (set(), {}))
+        width, live = len(chain.names), np.flatnonzero(chain.weights.any(axis=0)).tolist()
+        used, columns = set(live), dict(zip(live, chain.weights[:, live].T.astype("float64")))
         for batch in batches:
             sums = np.zeros((batch.num_rows, width))
             for k, t in enumerate(batch.column(text_at).to_pylist()):
-                if len(known) > 300_000:
-                    known.clear()
                 words = set(WORD.findall((t or "").lower()))
-                fresh = [w for w in words if w not in known]
-                if fresh:
-                    parts = [word_features(w) for w in fresh]
-                    flat = chain.weights[:, [b for p in parts for b in p]].astype("float64")
-                    stops = np.cumsum([0, *[len(p) for p in parts[:-1]]])
-                    for w, *v in zip(fresh, *np.add.reduceat(flat, stops, axis=1).tolist()):
-                        known[w] = v
-                if words:
-                    sums[k] = np.sum([known[w] for w in words], axis=0)
+                if len(met) > KNOWN:
+                    met.clear()
+                    telling.clear()
+                for w in words - met:
+                    got = tuple(b for b in word_features(w) if b in used)
+                    if got:
+                        telling[w] = got
+                met |= words
+                found = {b for w in words if w in telling for b in telling[w]}
+                if found:
+                    sums[k] = np.sum([columns[b] for b in sorted(found)], axis=0)
             p = sigmoid(chain.odds(sums))
             yield pa.record_batch([*batch.columns, *[pa.array(p[:, k]) for k in range(width)]], names=[*batch.schema.names, *names])
 
