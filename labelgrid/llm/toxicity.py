@@ -24,6 +24,7 @@ from labelgrid.llm.common import per_worker, texts
 SAMPLE = 6000
 FOLDS = 5
 BUCKETS = 1 << 18
+MASK = BUCKETS - 1
 #: A feature needs this many training documents.
 MIN_DOCS = 3
 #: Features a model keeps.
@@ -37,10 +38,12 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> list[int]:
-    """Buckets of a word, of its first 3 to 6 letters and its last 3."""
+    """Buckets of a word, of its first 3 to 6 bytes and its last 3."""
     raw = word.encode()
-    parts = [b"w" + raw, *[b"p" + word[:n].encode() for n in (3, 4, 5, 6) if len(word) >= n], b"s" + word[-3:].encode()]
-    return [zlib.crc32(p) % BUCKETS for p in parts]
+    found = [zlib.crc32(raw, 1) & MASK, zlib.crc32(raw[-3:], 2) & MASK]
+    for n in range(3, min(len(raw), 6) + 1):
+        found.append(zlib.crc32(raw[:n], n) & MASK)
+    return found
 
 
 @dataclass
