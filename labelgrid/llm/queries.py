@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelgrid.llm import bpe
 from labelgrid.llm.common import table
 from labelgrid.llm.lines import drop_recurring_lines
 from labelgrid.llm.media import DIGEST, page_digest, texts_as_media, tiff_pages
 from labelgrid.llm.packing import pack
 from labelgrid.llm.sharding import extendible_shards
+from labelgrid.llm.simhash import near_duplicates
 from labelgrid.llm.sketches import edited_documents
 from labelgrid.llm.toxicity import CATEGORIES, THRESHOLD, chain_labels, score, train
 
@@ -26,12 +28,23 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST)
+
+
 def op5_line_templates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_recurring_lines(docs)
     return out.select("doc_id", F.col("lines_total").cast("long").alias("n_lines"), F.col("lines_dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, chain_labels(table(spark, sf_dir, "labels")), CATEGORIES)
@@ -54,5 +67,5 @@ def op10_extendible_shards(spark, sf_dir):
     return extendible_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).drop("oversized")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_line_templates, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op5_line_templates, op6_simhash, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
 ORACLES = {}
