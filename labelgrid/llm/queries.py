@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelgrid.llm import bpe
+from labelgrid.llm import bpe, suffix
 from labelgrid.llm.common import table
 from labelgrid.llm.lines import drop_recurring_lines
 from labelgrid.llm.media import DIGEST, page_digest, texts_as_media, tiff_pages
@@ -35,6 +35,10 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST)
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), suffix.digest, suffix.DIGEST)
+
+
 def op5_line_templates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_recurring_lines(docs)
@@ -67,5 +71,5 @@ def op10_extendible_shards(spark, sf_dir):
     return extendible_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).drop("oversized")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op5_line_templates, op6_simhash, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_line_templates, op6_simhash, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
 ORACLES = {}
