@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.llm import bpe, suffix
 from labelgrid.llm.common import table
+from labelgrid.llm.lm import lm_scores
 from labelgrid.llm.lines import drop_recurring_lines
 from labelgrid.llm.media import DIGEST, page_digest, texts_as_media, tiff_pages
 from labelgrid.llm.packing import pack
@@ -28,6 +29,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op2_maxent_lm(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -71,5 +76,5 @@ def op10_extendible_shards(spark, sf_dir):
     return extendible_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).drop("oversized")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_line_templates, op6_simhash, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_maxent_lm, op3_byte_bpe, op4_suffix_dedup, op5_line_templates, op6_simhash, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
 ORACLES = {}
