@@ -13,6 +13,8 @@ their size follows the corpus, so a broadcast would have no bound.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,19 +34,30 @@ BLANKS = bytes([32, *range(9, 14)])
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """64 bits, each set if over half of the shingles' hashes have it; zero for no words."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of the runs of ``words`` words, repeats included; of all words if there are fewer."""
     parts = text.encode().translate(LOWERED).split()  # bytes split at the six ASCII blanks
-    if not parts:
-        return 0
     one = xxhash.xxh64_intdigest
-    if len(parts) < words:
+    if not parts:
+        hashes = []
+    elif len(parts) < words:
         hashes = [one(b" ".join(parts), SEED)]
     elif words == 3:
         hashes = [one(b"%b %b %b" % p, SEED) for p in zip(parts, parts[1:], parts[2:])]
     else:
-        hashes = [one(b" ".join(parts[k : k + words]), SEED) for k in range(len(parts) - words + 1)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
+        hashes = [one(b" ".join(p), SEED) for p in zip(*(parts[k:] for k in range(words)))]
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """64 bits, each set if over half of the shingles' hashes have it; zero for no words."""
+    return majority(shingles(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little")
     on = 2 * bits.sum(axis=0, dtype="int64") > len(hashes)
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
@@ -114,6 +127,11 @@ def shard_links(values: np.ndarray, free: int = 0xFFFFFFFFFFFFFFFF) -> list[tupl
                 if len(part) > 1:
                     out += shard_links(part, free & ~mask)
         return out
+    return forest(values, RADIUS)
+
+
+def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links up to ``radius``, the closest first for each value."""
     tree, roots, out = BkTree(), [], []
 
     def root(k):
@@ -124,7 +142,8 @@ def shard_links(values: np.ndarray, free: int = 0xFFFFFFFFFFFFFFFF) -> list[tupl
 
     for n, v in enumerate(values.tolist()):
         roots.append(n)
-        for k in tree.add_and_find(v, RADIUS):
+        found = tree.add_and_find(v, radius)
+        for k in sorted(found, key=lambda k: (v ^ tree.values[k]).bit_count()) if radius > RADIUS else found:
             a, b = root(n), root(k)
             if a != b:
                 roots[max(a, b)] = min(a, b)
@@ -135,49 +154,50 @@ def shard_links(values: np.ndarray, free: int = 0xFFFFFFFFFFFFFFFF) -> list[tupl
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """``a, b``: links among distinct fingerprints ``fp``, a spanning forest per shard."""
-    block = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*[F.struct(F.lit(n).alias("pair"), (block(a) * 65536 + block(b)).alias("bits")) for n, (a, b) in enumerate(PAIRS)])
-    dealt = nodes.select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.pair").alias("pair"), F.col("k.bits").alias("bits"))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "pair", "bits").sortWithinPartitions("pair", "bits", "fp")
+def _by_shard(dealt: DataFrame, solve) -> DataFrame:
+    """``a, b``: what ``solve(number, values)`` links in each shard; ``dealt``: rows of ``fp, number, bits``."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "number", "bits").sortWithinPartitions("number", "bits", "fp")
+
+    def flush(keys, fps):
+        stops = np.flatnonzero(np.diff(keys)) + 1
+        starts, ends = np.concatenate([[0], stops]), np.concatenate([stops, [len(keys)]])
+        found = []
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+            found += solve(int(keys[a]) >> 32, fps[a:b])
+        edges = np.array(found, "uint64").reshape(-1, 2).view("int64")
+        return pa.record_batch([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        def flush(keys, fps):
-            stops = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.concatenate([[0], stops]), np.concatenate([stops, [len(keys)]])
-            found = []
-            for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                pair = PAIRS[int(keys[a]) >> 32]
-                fixed = sum(0xFFFF << (16 * k) for k in pair)
-                found += shard_links(fps[a:b], 0xFFFFFFFFFFFFFFFF & ~fixed)
-            edges = np.array(found, "uint64").reshape(-1, 2).view("int64")
-            return pa.record_batch([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
-
-        held_k, held_v = [np.empty(0, "int64")], [np.empty(0, "uint64")]
+        keys, fps = np.empty(0, "int64"), np.empty(0, "uint64")  # the shard not yet known to be complete
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column("pair").to_numpy().astype("int64") << 32 | batch.column("bits").to_numpy()
-            fps = batch.column("fp").to_numpy().view("uint64")
+            more = batch.column("number").to_numpy().astype("int64") << 32 | batch.column("bits").to_numpy()
+            keys, fps = np.concatenate([keys, more]), np.concatenate([fps, batch.column("fp").to_numpy().view("uint64")])
             cut = int(np.searchsorted(keys, keys[-1], "left"))
-            held_k.append(keys[:cut])
-            held_v.append(fps[:cut])
-            if cut or (len(held_k[-2]) and held_k[-2][-1] != keys[-1]):
-                k, v = np.concatenate(held_k), np.concatenate(held_v)
-                if len(k):
-                    yield flush(k, v)
-                held_k, held_v = [], []
-            held_k.append(keys[cut:])
-            held_v.append(fps[cut:])
-        k, v = np.concatenate(held_k), np.concatenate(held_v)
-        if len(k):
-            yield flush(k, v)
+            if cut:
+                yield flush(keys[:cut], fps[:cut])
+                keys, fps = keys[cut:], fps[cut:]
+        if len(keys):
+            yield flush(keys, fps)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def links(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links among distinct fingerprints ``fp``, a spanning forest per shard."""
+    block = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
+    keys = [F.struct(F.lit(n).alias("number"), (block(a) * 65536 + block(b)).alias("bits")) for n, (a, b) in enumerate(PAIRS)]
+    dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", F.col("k.number").alias("number"), F.col("k.bits").alias("bits"))
+
+    def solve(number, values):
+        fixed = sum(0xFFFF << (16 * k) for k in PAIRS[number])
+        return shard_links(values, 0xFFFFFFFFFFFFFFFF & ~fixed)
+
+    return _by_shard(dealt, solve)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of its component, for each node of an edge.
 
@@ -214,3 +234,80 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return docs.join(label, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+
+
+# -- near copies by similarity -------------------------------------------------
+
+#: Tables of sampled bits; copies of similarity 0.8 differ in some 10 of 64 bits and share some table's bits
+#: in about 95 of 100 cases, those of 0.9 in over 99.
+TABLES, TABLE_BITS, REACH = 40, 16, 14
+SKETCH = 128
+SIMILARITY = 0.8
+
+
+def _table_bits(number: int) -> list[int]:
+    """The bits of a table, then the order in which a crowded shard takes more."""
+    return random.Random(1000 + number).sample(range(64), 64)
+
+
+def _crowded(number: int, values: np.ndarray, used: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """Forest of a shard; a crowded one first splits on six more bits of its table's order."""
+    if len(values) <= TREE or used > 58:
+        return forest(values, REACH)
+    mask = np.uint64(sum(1 << k for k in _table_bits(number)[used : used + 6]))
+    key = values & mask
+    order = np.argsort(key, kind="stable")
+    out = []
+    for part in np.split(values[order], np.flatnonzero(np.diff(key[order])) + 1):
+        if len(part) > 1:
+            out += _crowded(number, part, used + 6)
+    return out
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, group_id``: documents whose shingles of ``words`` words are alike, by the group's smallest id.
+
+    SimHash fingerprints are sharded by sampled bits; in a shard a BK-tree links each to the closest within REACH
+    bits.  A link counts if the bottom sketches of both put their likeness at ``similarity`` or more (exact below
+    SKETCH shingles); equal fingerprints need no check.  Texts without words share the fingerprint zero and form
+    one group; rows with a NULL id take part; repeated rows stay; an empty frame gives no rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            fps, sketches = [], []
+            for t in texts(batch):
+                h = shingles(t, words)
+                fps.append(majority(h))
+                sketches.append(np.unique(h)[:SKETCH].view("i8"))
+            yield pa.record_batch([batch.column("id"), pa.array(np.array(fps, "uint64").view("int64")), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "fp", "sketch"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sketch array<long>")
+    docs = materialize(docs, "sketched")
+    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first"), F.any_value("sketch").alias("sketch")), "nodes")
+    def deal(batches):
+        masks = [_table_bits(n)[:TABLE_BITS] for n in range(TABLES)]
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            for n, bits in enumerate(masks):
+                key = sum((fps >> b & 1) << k for k, b in enumerate(bits))
+                yield pa.record_batch([pa.array(fps), pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "number", "bits"])
+
+    dealt = nodes.select("fp").mapInArrow(deal, "fp long, number int, bits long")
+    edges = _by_shard(dealt, _crowded).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("s_a"))
+    right = nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("s_b"))
+    alike = edges.join(left, "a").join(right, "b").where(_alike("s_a", "s_b") >= similarity).select("a", "b")
+    tree = components(alike)
+    rooted = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("fp", "group_id")
+    return docs.select("id", "fp").join(label, "fp").select(F.col("id").alias(id_col), "group_id")
+
+
+def _alike(a: str, b: str):
+    """Jaccard estimate from two sketches (unsigned order; both ascending)."""
+    flip = lambda x: F.transform(x, lambda h: h.bitwiseXOR(F.lit(-(2**63))))  # noqa: E731  signed order of unsigned hashes
+    union = F.slice(F.sort_array(F.array_union(flip(a), flip(b))), 1, SKETCH)
+    common = F.size(F.array_intersect(F.array_intersect(flip(a), flip(b)), union))
+    return common / F.greatest(F.size(union), F.lit(1))
