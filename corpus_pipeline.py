@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelgrid.llm import lines, packing, queries, simhash, suffix, toxicity
-from labelgrid.llm.common import table
+from labelgrid.llm.common import row_key, table
 from labelgrid.plans.materialize import materialize
 
 
@@ -29,9 +29,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays (of repeated rows one); a NULL id stays only if no other does."""
-    groups = simhash.near_copies(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("group_id"))).select("doc_id").distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_anti").dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays: that of the smallest id, NULL last; of repeated rows one."""
+    row = row_key("doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row")).alias("key")
+    groups = simhash.near_copies(docs.select(key, "text"), "key")
+    gone = groups.where(F.col("key") != F.col("group_id")).select(F.col("key.row").alias("_labelgrid_row")).distinct()
+    once = docs.withColumn("_labelgrid_row", row).dropDuplicates(["_labelgrid_row"])
+    return once.join(gone, "_labelgrid_row", "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

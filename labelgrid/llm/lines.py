@@ -22,6 +22,7 @@ AGREE = 0.7
 #: Documents in which a template must occur.
 MIN_DOCS = 5
 
+RK, DROP = "_labelgrid_row", "_labelgrid_drop"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,13 +68,13 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines end at ``\\n``.  The first line of a template is that of the smallest (id, row); NULL ids come first.  Rows
     equal in id and text are one document and get one result.  A NULL text stays NULL with 0 lines; an empty text has
-    one line.  All other columns and an empty frame pass unchanged (``df`` must not have a column ``rk`` or ``drop``).
+    one line.  All other columns (but two of those names) and an empty frame pass unchanged.
     """
-    drops = recurring_lines(df, id_col, text_col, min_docs)
-    joined = df.withColumn("rk", row_key(id_col, text_col)).join(drops, "rk", "left")
+    drops = recurring_lines(df, id_col, text_col, min_docs).withColumnsRenamed({"rk": RK, "drop": DROP})
+    joined = df.withColumn(RK, row_key(id_col, text_col)).join(drops, RK, "left")
     lines = F.split(text_col, "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
-    text = F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumns({"lines_total": F.coalesce(F.size(lines), F.lit(0)), "lines_dropped": F.coalesce(F.size("drop"), F.lit(0)), "rk": text})
-    out = out.withColumn("lines_total", F.greatest("lines_total", F.lit(0))).withColumn("lines_dropped", F.greatest("lines_dropped", F.lit(0)))
-    return out.select(*[F.col("rk").alias(c) if c == text_col else F.col(c) for c in df.columns], "lines_total", "lines_dropped")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(DROP, i))
+    text = F.when(F.col(DROP).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    rest = [text.alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("lines_total", "lines_dropped")]
+    return joined.select(*rest, count(lines).alias("lines_total"), count(F.col(DROP)).alias("lines_dropped"))

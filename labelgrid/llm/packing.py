@@ -93,6 +93,9 @@ def undominated(chosen: list[int], waste: int, sizes: list[int], counts: dict[in
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; every length is placed as often as it occurs."""
+    histogram = dict(histogram)
+    full = histogram.pop(capacity, 0)  # a sequence each
+    alone = [((capacity,), full)] if full else []
     total = sum(s * n for s, n in histogram.items())
     bound = -(-total // capacity)
     best = _greedy(histogram, capacity, 1)  # best-fit decreasing: the first incumbent
@@ -103,7 +106,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             best, used = other, sum(n for _, n in other)
     if used > bound and sum(histogram.values()) <= EXACT_ITEMS:
         best = _exact(histogram, capacity, best, bound)
-    return best
+    return alone + best
 
 
 def _greedy(histogram, capacity, steps):

@@ -77,4 +77,50 @@ def op10_extendible_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_maxent_lm, op3_byte_bpe, op4_suffix_dedup, op5_line_templates, op6_simhash, op7_toxicity, op8_fingerprints, op9_tiff, op10_extendible_shards)}
-ORACLES = {}
+
+_LINES = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+m AS (
+  SELECT doc_id, pos, line, regexp_replace(regexp_replace(regexp_replace(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r]+', ' ', 'g'), '^ | $', '', 'g'),
+    '(^| )[^ 0-9]*[0-9][^ ]*', '\\1<*>', 'g') AS m FROM l),
+k AS (
+  SELECT doc_id, pos, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n,
+    concat(len(string_split(m, ' ')), ' ', array_to_string(string_split(m, ' ')[1:LEADING], ' ')) AS leaf FROM m WHERE len(string_split(m, ' ')) >= LEADING),
+hot AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= MIN_DOCS),
+h AS (SELECT k.* FROM k SEMI JOIN hot USING (leaf)),
+w AS (SELECT leaf, doc_id, pos, n, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM h),
+best AS (SELECT leaf, i, max(struct_pack(c := c, t := t)).t AS t FROM (SELECT leaf, i, t, count(*) AS c FROM w GROUP BY ALL) GROUP BY leaf, i),
+member AS (
+  SELECT w.leaf, w.doc_id, w.pos FROM w JOIN best ON w.leaf = best.leaf AND w.i = best.i
+  GROUP BY w.leaf, w.doc_id, w.pos, w.n HAVING count(*) FILTER (w.t = best.t) >= w.n * AGREE::DOUBLE),
+spread AS (SELECT leaf, min(struct_pack(d := doc_id, p := pos)) AS f FROM member GROUP BY leaf HAVING count(DISTINCT doc_id) >= MIN_DOCS),
+gone AS (SELECT DISTINCT member.doc_id, member.pos FROM member JOIN spread USING (leaf) WHERE NOT (member.doc_id = f.d AND member.pos = f.p)),
+rest AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS body
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(body) AS kept_sha256 FROM rest
+"""
+
+_SHARDS = """
+WITH d AS (
+  SELECT doc_id, octet_length(encode(text)) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 9) AS BIGINT) AS h FROM documents),
+p AS (SELECT doc_id, n_bytes, h, CAST(k AS INTEGER) AS depth, sum(n_bytes) OVER (PARTITION BY k, h >> (36 - k)) AS shard_bytes FROM d CROSS JOIN range(0, 37) t(k)),
+f AS (SELECT doc_id, n_bytes, h, min(struct_pack(k := depth, b := shard_bytes)) AS s FROM p WHERE shard_bytes <= LIMIT_BYTES GROUP BY ALL)
+SELECT doc_id, n_bytes, substr(lpad(bin(h), 36, '0'), 1, s.k) AS shard, s.k AS depth, CAST(s.b AS BIGINT) AS shard_bytes FROM f
+"""
+
+
+def shards_sql(limit: int) -> str:
+    """Sizes of every prefix of every key (no key here is shared by rows or larger than the limit)."""
+    return _SHARDS.replace("LIMIT_BYTES", str(limit))
+
+
+def lines_sql() -> str:
+    from labelgrid.llm.lines import AGREE, LEADING, MIN_DOCS
+
+    return _LINES.replace("LEADING", str(LEADING)).replace("MIN_DOCS", str(MIN_DOCS)).replace("AGREE", str(AGREE))
+
+
+ORACLES = {"op5_line_templates": lines_sql(), "op10_extendible_shards": shards_sql(SHARD_BYTES)}

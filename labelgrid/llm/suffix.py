@@ -29,6 +29,7 @@ BUCKET = 400_000
 #: Blocks that a task gathers before it sends on what it found.
 FLUSH = 1_000_000
 
+DOC, TIE, SPANS = "_labelgrid_doc", "_labelgrid_tie", "_labelgrid_spans"
 BLOCK, SPAN, WANT = 0, 1, 2
 STREAM = "kind int, seed long, body long, doc long, tie long, pos long, upto long"
 NAMES = [f.split()[0] for f in STREAM.split(", ")]
@@ -233,14 +234,14 @@ def _fetch(batches):
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with ``doc long, tie long``: the place of a row in the order.
+    """``df`` with DOC and TIE, both long: the place of a row in the order.
 
     Order is by id, NULL first; only if ids repeat, rows of one id follow in order of their texts' hashes.
     """
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     ids = df.select(doc.alias("doc")).groupBy("doc").count()
     unique = ids.where("count > 1").isEmpty()
-    return df.withColumns({"doc": doc, "tie": F.lit(0).cast("long") if unique else F.xxhash64(text_col)})
+    return df.withColumns({DOC: doc, TIE: F.lit(0).cast("long") if unique else F.xxhash64(text_col)})
 
 
 def remove_repeats(df: DataFrame, on_doc, extra: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -249,25 +250,25 @@ def remove_repeats(df: DataFrame, on_doc, extra: str, id_col: str = "doc_id", te
     ``spans`` are the maximal runs of bytes to remove, as rows of (start, end): all bytes of a 100-byte string
     that also starts earlier, in a smaller id or before it in the same text, judged on the input.  Ids are whole
     numbers.  A NULL text is empty and stays as it is; rows equal in id and text are one document; an empty frame
-    gives no rows.  ``df`` must have no columns ``doc``, ``tie`` or ``spans``.
+    gives no rows.
     """
     keep = keep or [id_col]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed(df.select(*dict.fromkeys([*keep, id_col, text_col])), id_col, text_col)
-    slim = docs.select("doc", "tie", F.col(text_col).alias("text"))
+    slim = docs.select(F.col(DOC).alias("doc"), F.col(TIE).alias("tie"), F.col(text_col).alias("text"))
     found = slim.mapInArrow(_find_blocks, STREAM).repartition(n, "seed").sortWithinPartitions("kind", "seed", "body", "doc", "tie", "pos")
     found = materialize(found.mapInArrow(_settle, STREAM).drop("body"), "blocks")
     want = found.where(F.col("kind") == WANT).groupBy("doc", "tie").agg(F.collect_list(F.struct("seed", "pos")).alias("want"))
     fetched = slim.join(want, ["doc", "tie"]).mapInArrow(_fetch, "seed long, doc long, tie long, pos long, bytes binary")
     sorted_ = fetched.repartition(n, "seed").sortWithinPartitions("seed", "doc", "tie", "pos").mapInArrow(_sort_buckets, STREAM)
     spans = found.where(F.col("kind") == SPAN).select("doc", "tie", "pos", "upto").unionByName(sorted_.select("doc", "tie", "pos", "upto"))
-    spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "upto")).alias("spans"))
-    joined = docs.join(spans, ["doc", "tie"], "left").select(*keep, *([text_col] if text_col not in keep else []), "spans")
+    spans = spans.groupBy(F.col("doc").alias(DOC), F.col("tie").alias(TIE)).agg(F.collect_list(F.struct("pos", "upto")).alias(SPANS))
+    joined = docs.join(spans, [DOC, TIE], "left").select(*keep, *([text_col] if text_col not in keep else []), SPANS)
     text_at, names = joined.columns.index(text_col), [f.split()[0] for f in extra.split(", ")]
 
     def finish(batches):
         for batch in batches:
-            lists = batch.column("spans")
+            lists = batch.column(SPANS)
             flat = lists.flatten()
             a, b = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
             sizes = lists.value_lengths().fill_null(0).to_numpy()

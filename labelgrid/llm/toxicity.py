@@ -160,11 +160,12 @@ def train(documents: DataFrame, labels: DataFrame, names: list[str], id_col: str
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df``'s columns and ``p_<name>`` double for each category; a NULL or empty text scores its prior.
+    """``df``'s columns (but of those names) and ``p_<name>`` double for each category; a NULL or empty text scores its prior.
 
     Repeated rows and NULL ids are scored like any others; an empty frame gives no rows.
     """
     names = [f"p_{n}" for n in chain.names]
+    df = df.drop(*names)
     text_at = df.columns.index(text_col)
     token = f"toxicity {zlib.crc32(chain.weights.tobytes())} {chain.bias.tolist()}"
 
