@@ -187,7 +187,7 @@ def _sort_buckets(batches):
             parts = [(np.arange(n), np.zeros(n, "i8"), windows)]
         else:
             parts = []
-            for d in range(int(off.max() - windows.min()) - 256, int(off.max()) + 1):
+            for d in range(int((off - windows).min()) + 1, int(off.max()) + 1):
                 w = off - d  # the window at this distance, if the block has it
                 mine = np.flatnonzero((w >= 0) & (w < windows))
                 if len(mine) > 1:

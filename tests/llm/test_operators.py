@@ -171,9 +171,9 @@ def removed(rows):
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_dedup_equals_brute_force(spark, seed, monkeypatch):
     rng = random.Random(seed)
-    monkeypatch.setattr(suffix, "BUCKET", 300)
+    monkeypatch.setattr(suffix, "BUCKET", (300, 5000, 400_000)[seed])
     pool = ["".join(rng.choice("abcé") for _ in range(rng.randint(90, 400))) for _ in range(12)] + ["a" * 350, "ab" * 200]
-    rows = [(k, "".join(rng.choice(pool)[rng.randint(0, 50) :] for _ in range(rng.randint(0, 6)))) for k in range(60)]
+    rows = [(k, "".join(rng.choice(pool)[rng.randint(0, 50) :] for _ in range(rng.randint(0, 6)))) for k in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = suffix.remove_repeats(frame, suffix.digest, suffix.DIGEST).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == removed(rows)
