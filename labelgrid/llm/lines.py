@@ -23,19 +23,25 @@ AGREE = 0.7
 MIN_DOCS = 5
 
 RK, DROP = "_labelgrid_row", "_labelgrid_drop"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def masked(line: Column) -> Column:
-    """Lower case (A-Z), single blanks, ``<*>`` for tokens with a digit.  Possessive, so linear in long tokens."""
-    flat = F.regexp_replace(F.regexp_replace(F.translate(line, UPPER, LOWER), "[ \\t\\r]++", " "), "^ | $", "")
-    return F.regexp_replace(flat, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+def masked(text: Column) -> Column:
+    """Whole text in lower case, single blanks, none at the ends of lines, ``<*>`` for tokens with a digit.
+
+    Each pattern runs only over texts that have something for it, and is possessive, so linear in long tokens.
+    """
+    low = F.lower(text)
+    flat = F.when(low.rlike("[\t\r]|  "), F.regexp_replace(low, "[ \t\r]++", " ")).otherwise(low)
+    edged = F.when(flat.rlike("^ | $|\n | \n"), F.regexp_replace(flat, "(?m)^ | $", "")).otherwise(flat)
+    return F.when(edged.rlike("[0-9]"), F.regexp_replace(edged, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(edged)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``rk, doc, pos, m, n, leaf`` for each line of at least LEADING tokens."""
-    lines = docs.select("rk", "doc", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    lines = lines.select("rk", "doc", "pos", masked(F.col("line")).alias("m"))
+    """``rk, doc, pos, m, n, leaf`` for each line of at least LEADING tokens.
+
+    Texts are masked before they are split: an expression under a filter on lines would be worked out twice.
+    """
+    lines = docs.select("rk", "doc", F.posexplode(F.split(masked(F.col("body")), "\n")).alias("pos", "m"))
     lines = lines.where(F.col("m").like("% % %")).withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1)
     return lines.withColumn("leaf", F.md5(F.concat(F.col("n").cast("string"), F.lit(" "), F.substring_index("m", " ", LEADING))))
 

@@ -83,7 +83,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 m AS (
   SELECT doc_id, pos, line, regexp_replace(regexp_replace(regexp_replace(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r]+', ' ', 'g'), '^ | $', '', 'g'),
+    lower(line), '[ \\t\\r]+', ' ', 'g'), '^ | $', '', 'g'),
     '(^| )[^ 0-9]*[0-9][^ ]*', '\\1<*>', 'g') AS m FROM l),
 k AS (
   SELECT doc_id, pos, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n,
