@@ -9,7 +9,7 @@ first line stays, all others are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm.common import row_key
@@ -25,15 +25,16 @@ MIN_DOCS = 5
 RK, DROP = "_labelgrid_row", "_labelgrid_drop"
 
 
-def masked(text: Column) -> Column:
-    """Whole text in lower case, single blanks, none at the ends of lines, ``<*>`` for tokens with a digit.
+def with_masked(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``m``: the text in lower case, single blanks, none at the ends of lines, ``<*>`` for tokens with a digit.
 
     Each pattern runs only over texts that have something for it, and is possessive, so linear in long tokens.
+    Every step is a projection of its own, so no step is worked out twice.
     """
-    low = F.lower(text)
-    flat = F.when(low.rlike("[\t\r]|  "), F.regexp_replace(low, "[ \t\r]++", " ")).otherwise(low)
-    edged = F.when(flat.rlike("^ | $|\n | \n"), F.regexp_replace(flat, "(?m)^ | $", "")).otherwise(flat)
-    return F.when(edged.rlike("[0-9]"), F.regexp_replace(edged, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(edged)
+    out = docs.withColumn("m", F.lower(text))
+    for has, what, to in (("[\t\r]|  ", "[ \t\r]++", " "), ("^ | $|\n | \n", "(?m)^ | $", ""), ("[0-9]", "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")):
+        out = out.withColumn("m", F.when(F.col("m").rlike(has), F.regexp_replace("m", what, to)).otherwise(F.col("m")))
+    return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     Texts are masked before they are split: an expression under a filter on lines would be worked out twice.
     """
-    lines = docs.select("rk", "doc", F.posexplode(F.split(masked(F.col("body")), "\n")).alias("pos", "m"))
+    lines = with_masked(docs, "body").select("rk", "doc", F.posexplode(F.split("m", "\n")).alias("pos", "m"))
     lines = lines.where(F.col("m").like("% % %")).withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1)
     return lines.withColumn("leaf", F.md5(F.concat(F.col("n").cast("string"), F.lit(" "), F.substring_index("m", " ", LEADING))))
 
