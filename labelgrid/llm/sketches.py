@@ -21,7 +21,10 @@ def word_hashes(text: Column) -> Column:
 
 
 def shingle_hashes(hashes: Column, words: int = WORDS) -> Column:
-    """Hash of each run of ``words`` word hashes; of all of them if there are fewer; none for none."""
+    """Hash of each run of ``words`` word hashes; none for none.
+
+    Fewer word hashes give one value: from 42, each step hashes the value so far and the next word hash.
+    """
     n = F.size(hashes)
     full = F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: F.xxhash64(*[F.element_at(hashes, i + k) for k in range(words)]))
     short = F.array(F.aggregate(hashes, F.lit(42).cast("long"), lambda a, h: F.xxhash64(a, h)))

@@ -306,7 +306,10 @@ def sketch(text):
             seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
         return seed
 
-    hashes = {run(ws[k : k + 5]) for k in range(len(ws) - 4)} if len(ws) >= 5 else ({run(ws)} if ws else set())
+    short = 42
+    for w in ws[:5]:
+        short = run([short, w])
+    hashes = {run(ws[k : k + 5]) for k in range(len(ws) - 4)} if len(ws) >= 5 else ({short} if ws else set())
     return sorted(h - (h >> 63 << 64) for h in hashes)[:128]
 
 
