@@ -28,6 +28,7 @@ RADIUS = 2
 SEED = 42
 #: Fingerprints of a shard up to which a BK-tree is used; a larger one is split on its other bits.
 TREE = 1500
+WORD = 0xFFFFFFFFFFFFFFFF
 
 # The blanks that part words, and A-Z to a-z.
 BLANKS = bytes([32, *range(9, 14)])
@@ -131,7 +132,10 @@ def shard_links(values: np.ndarray, free: int = 0xFFFFFFFFFFFFFFFF) -> list[tupl
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links up to ``radius``, the closest first for each value."""
+    """A spanning forest of the links up to ``radius``, the closest first for each value.
+
+    Rows of two words are one fingerprint of 128 bits; a link names the first words.
+    """
     tree, roots, out = BkTree(), [], []
 
     def root(k):
@@ -140,14 +144,14 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             k = roots[k]
         return k
 
-    for n, v in enumerate(values.tolist()):
+    for n, v in enumerate(values.tolist() if values.ndim == 1 else [a | b << 64 for a, b in values.tolist()]):
         roots.append(n)
         found = tree.add_and_find(v, radius)
         for k in sorted(found, key=lambda k: (v ^ tree.values[k]).bit_count()) if radius > RADIUS else found:
             a, b = root(n), root(k)
             if a != b:
                 roots[max(a, b)] = min(a, b)
-                out.append((v, tree.values[k]))
+                out.append((v & WORD, tree.values[k] & WORD))
     return out
 
 
@@ -155,7 +159,8 @@ PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
 def _by_shard(dealt: DataFrame, solve) -> DataFrame:
-    """``a, b``: what ``solve(number, values)`` links in each shard; ``dealt``: rows of ``fp, number, bits``."""
+    """``a, b``: what ``solve(number, values)`` links in each shard; ``dealt``: rows of ``number, bits`` and the words of a fingerprint."""
+    words = [c for c in dealt.columns if c not in ("number", "bits")]
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "number", "bits").sortWithinPartitions("number", "bits", "fp")
 
@@ -164,17 +169,18 @@ def _by_shard(dealt: DataFrame, solve) -> DataFrame:
         starts, ends = np.concatenate([[0], stops]), np.concatenate([stops, [len(keys)]])
         found = []
         for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            found += solve(int(keys[a]) >> 32, fps[a:b])
+            found += solve(int(keys[a]) >> 32, fps[a:b] if len(words) > 1 else fps[a:b, 0])
         edges = np.array(found, "uint64").reshape(-1, 2).view("int64")
         return pa.record_batch([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        keys, fps = np.empty(0, "int64"), np.empty(0, "uint64")  # the shard not yet known to be complete
+        taken = lambda batch: np.stack([batch.column(c).to_numpy().view("uint64") for c in words], 1)
+        keys, fps = np.empty(0, "int64"), np.empty((0, len(words)), "uint64")  # the shard not yet known to be complete
         for batch in batches:
             if not batch.num_rows:
                 continue
             more = batch.column("number").to_numpy().astype("int64") << 32 | batch.column("bits").to_numpy()
-            keys, fps = np.concatenate([keys, more]), np.concatenate([fps, batch.column("fp").to_numpy().view("uint64")])
+            keys, fps = np.concatenate([keys, more]), np.concatenate([fps, taken(batch)])
             cut = int(np.searchsorted(keys, keys[-1], "left"))
             if cut:
                 yield flush(keys[:cut], fps[:cut])
@@ -238,9 +244,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # -- near copies by similarity -------------------------------------------------
 
-#: Tables of sampled bits; copies of similarity 0.8 differ in some 10 of 64 bits and share some table's bits
-#: in about 95 of 100 cases, those of 0.9 in over 99.
-TABLES, TABLE_BITS, REACH = 40, 16, 14
+#: Tables of sampled bits of the first word, and the radius over both words.  Copies of similarity 0.8 differ in some
+#: 19 of 128 bits and share some table's bits in about 91 of 100 cases, those of 0.85 in 96, of 0.9 in 99 (simulated).
+TABLES, TABLE_BITS, REACH = 96, 16, 32
 SKETCH = 128
 SIMILARITY = 0.8
 
@@ -255,7 +261,7 @@ def _crowded(number: int, values: np.ndarray, used: int = TABLE_BITS) -> list[tu
     if len(values) <= TREE or used > 58:
         return forest(values, REACH)
     mask = np.uint64(sum(1 << k for k in _table_bits(number)[used : used + 6]))
-    key = values & mask
+    key = values[:, 0] & mask
     order = np.argsort(key, kind="stable")
     out = []
     for part in np.split(values[order], np.flatnonzero(np.diff(key[order])) + 1):
@@ -264,37 +270,45 @@ def _crowded(number: int, values: np.ndarray, used: int = TABLE_BITS) -> list[tu
     return out
 
 
+def _rehashed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles: xor-shift and multiply, which numpy wraps at 64 bits."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``id, group_id``: documents whose shingles of ``words`` words are alike, by the group's smallest id.
 
-    SimHash fingerprints are sharded by sampled bits; in a shard a BK-tree links each to the closest within REACH
-    bits.  A link counts if the bottom sketches of both put their likeness at ``similarity`` or more (exact below
+    SimHash fingerprints of two words, the second of the same shingles hashed again, are sharded by sampled bits of the
+    first; in a shard a BK-tree links each to the closest within REACH bits of both.  A link counts if the bottom sketches of both put their likeness at ``similarity`` or more (exact below
     SKETCH shingles); equal fingerprints need no check.  Texts without words share the fingerprint zero and form
     one group; rows with a NULL id take part; repeated rows stay; an empty frame gives no rows.
     """
 
     def run(batches):
         for batch in batches:
-            fps, sketches = [], []
+            fps, more, sketches = [], [], []
             for t in texts(batch):
                 h = shingles(t, words)
                 fps.append(majority(h))
+                more.append(majority(_rehashed(h)))
                 sketches.append(np.unique(h)[:SKETCH].view("i8"))
-            yield pa.record_batch([batch.column("id"), pa.array(np.array(fps, "uint64").view("int64")), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "fp", "sketch"])
+            yield pa.record_batch([batch.column("id"), pa.array(np.array(fps, "uint64").view("int64")), pa.array(np.array(more, "uint64").view("int64")), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "fp", "more", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sketch array<long>")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, more long, sketch array<long>")
     docs = materialize(docs, "sketched")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first"), F.any_value(F.struct("more", "sketch")).alias("s")).select("fp", "first", "s.more", "s.sketch"), "nodes")
+
     def deal(batches):
         masks = [_table_bits(n)[:TABLE_BITS] for n in range(TABLES)]
         for batch in batches:
-            fps = batch.column("fp").to_numpy()
+            fps, more = batch.column("fp").to_numpy(), batch.column("more")
             for n, bits in enumerate(masks):
                 key = sum((fps >> b & 1) << k for k, b in enumerate(bits))
-                yield pa.record_batch([pa.array(fps), pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "number", "bits"])
+                yield pa.record_batch([pa.array(fps), more, pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "more", "number", "bits"])
 
-    dealt = nodes.select("fp").mapInArrow(deal, "fp long, number int, bits long")
+    dealt = nodes.select("fp", "more").mapInArrow(deal, "fp long, more long, number int, bits long")
     edges = _by_shard(dealt, _crowded).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("s_a"))
     right = nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("s_b"))

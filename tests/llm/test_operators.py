@@ -282,6 +282,19 @@ def test_near_copies(spark, none):
     assert simhash.near_copies(none).collect() == []
 
 
+@pytest.mark.parametrize("replaced, least", [(34, 0.9), (16, 0.96)])  # a likeness of about 0.85 and 0.92 (a run of edits loses four more shingles than words)
+def test_near_copies_recall(spark, replaced, least):
+    rng = random.Random(replaced)
+    rows = []
+    for g in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        at = rng.randrange(404 - replaced)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:at] + [f"z{rng.randrange(10**6)}" for _ in range(replaced - 4)] + base[at + replaced - 4 :]))]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] // 2 == i // 2 for i, _ in rows)
+    assert sum(got[2 * g + 1] == 2 * g for g in range(400)) >= least * 400
+
+
 def test_toxicity_held_out(spark, edge, none):
     sf = "/root/testdata/sf0.1"
     frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
