@@ -80,8 +80,13 @@ def printed(a: Column) -> Column:
 
 
 def fold(df: DataFrame, by: list[str], sketch: str, k: int = K) -> DataFrame:
-    """Sketch of each group of sketches: the k smallest distinct hashes, found by two rounds of ranking-free aggregates."""
-    hashes = df.select(*by, F.explode(sketch).alias("h")).distinct()
+    """Sketch of each group of sketches: the k smallest distinct hashes, found by two rounds of ranking-free aggregates.
+
+    NULL sketches are empty; a group without hashes keeps its row, with an empty sketch.
+    """
+    # Outer: for a plain explode the optimiser filters on the sketch's size, below the projections that make it,
+    # and so works out the whole nest of them for every element.
+    hashes = df.select(*by, F.explode_outer(sketch).alias("h")).distinct()
     # Salted first: a hot group is cut to k hashes in 64 places before it meets in one.
     part = hashes.groupBy(*by, F.pmod("h", F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("h")), 1, k).alias("s"))
     return part.groupBy(*by).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))), 1, k).alias(sketch))

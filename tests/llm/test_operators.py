@@ -353,6 +353,10 @@ def test_sketches_merge(spark):
     whole = sketches.fold(made, ["g"], "s").select(sketches.distinct_count(F.col("s")).alias("n"), "s").first()
     want = sorted({h for r in frame.collect() for h in full(r.text)})[:128]
     assert whole.s == want and abs(whole.n - 1492) < 450
+    blank = spark.createDataFrame([(1, ""), (2, None), (None, "one two three four five"), (3, "x")], "g int, text string")
+    sizes = {r.g: len(r.s) for r in sketches.fold(sketches.with_sketch(blank, "text", "s"), ["g"], "s").collect()}
+    assert sizes == {1: 0, 2: 0, None: 1, 3: 1}
+    assert sketches.fold(made.limit(0), ["g"], "s").collect() == []
     a, b = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in ([1, 2, 3], [2, 3, 4, 5]))
     assert tuple(spark.range(1).select(sketches.resemblance(a, b), sketches.containment(a, b)).first()) == (0.4, 2 / 3)
 
