@@ -1,16 +1,20 @@
 """Toxicity by a classifier chain.
 
 Categories come one after another.  Each has a linear model over hashed word,
-prefix and suffix features plus the log-odds of all earlier categories; for
-training those are out-of-fold, so a later model learns from odds as good as it
-will meet.  Training uses a bounded sample of labelled documents on the driver;
+prefix and suffix features, the text's length and the log-odds of all earlier
+categories; for training those are out-of-fold, so a later model learns from odds
+as good as it will meet.  A feature's value is the number of distinct words that
+have it over the square root of all distinct words: in a long text some have any
+feature by chance, so it is their density that tells.  Training uses a bounded sample of labelled documents on the driver;
 scoring reads every document whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,40 +32,51 @@ MASK = BUCKETS - 1
 #: A feature needs this many training documents.
 MIN_DOCS = 3
 #: Features a model keeps.
-KEPT = 2048
+KEPT = 512
 THRESHOLD = 0.5
 #: Words whose features a worker remembers.
 KNOWN = 800_000
-ROUNDS, PENALTY = 120, 1e-5
+ROUNDS, PENALTY = 200, 1e-5
+#: Factor of feature values, for the step size.
+SCALE = 5.0
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a word, of its first 3 to 6 bytes and its last 3."""
+def word_features(word: str) -> set[int]:
+    """Buckets of a word, of its first 3 to 8 bytes and its last 3."""
     raw = word.encode()
-    found = [zlib.crc32(raw, 1) & MASK, zlib.crc32(raw[-3:], 2) & MASK]
-    for n in range(3, min(len(raw), 6) + 1):
-        found.append(zlib.crc32(raw[:n], n) & MASK)
+    found = {zlib.crc32(raw, 1) & MASK, zlib.crc32(raw[-3:], 2) & MASK}
+    for n in range(3, min(len(raw), 8) + 1):
+        found.add(zlib.crc32(raw[:n], n) & MASK)
     return found
 
 
+def values(counts, n_words):
+    """Feature values of counts among so many distinct words."""
+    return SCALE * counts / np.sqrt(np.maximum(n_words, 1))
+
+
+def length(n_words):
+    return np.log(np.maximum(n_words, 1))
+
+
 @dataclass
 class Chain:
-    """``weights``: categories x buckets; ``links``: weights of earlier log-odds; ``bias``."""
+    """``weights``: categories x buckets; ``links``: weights of length and earlier log-odds; ``bias``."""
 
     names: list[str]
     weights: np.ndarray
     links: np.ndarray
     bias: np.ndarray
 
-    def odds(self, sums: np.ndarray) -> np.ndarray:
-        """Log-odds of all categories, one after the other, from the feature sums (documents x categories)."""
-        out = np.zeros_like(sums)
+    def odds(self, sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Log-odds of all categories, one after the other, from the weighted counts (documents x categories)."""
+        dense = length(n_words)[:, None]
         for k in range(len(self.names)):
-            out[:, k] = sums[:, k] + out[:, :k] @ self.links[k, :k] + self.bias[k]
-            out[:, k] = np.clip(out[:, k], -30, 30)
-        return out
+            out = values(sums[:, k], n_words) + dense @ self.links[k, : k + 1] + self.bias[k]
+            dense = np.column_stack([dense, np.clip(out, -30, 30)])
+        return dense[:, 1:]
 
 
 def sigmoid(x):
@@ -79,8 +94,8 @@ def informative(docs, feats, y, n_feats: int) -> np.ndarray:
     return top[score[top] > 0]
 
 
-def fit_linear(docs, feats, dense, y, n_feats):
-    """L2 logistic regression of feature presence (pairs of docs, feats) and dense columns, by AdaGrad over all rows."""
+def fit_linear(docs, feats, vals, dense, y, n_feats):
+    """L2 logistic regression of features (triples of docs, feats, vals) and dense columns, by AdaGrad over all rows."""
     n = len(y)
     w, u = np.zeros(n_feats), np.zeros(dense.shape[1] + 1)
     rate = y.mean() if n else 0.0
@@ -91,12 +106,12 @@ def fit_linear(docs, feats, dense, y, n_feats):
     place = np.full(n_feats, -1)
     place[top] = np.arange(len(top))
     part = place[feats] >= 0
-    docs, feats = docs[part], place[feats[part]]
+    docs, feats, vals = docs[part], place[feats[part]], vals[part]
     v, gv, gu = np.zeros(len(top)), np.full(len(top), 1e-8), np.full(len(u), 1e-8)
     full = np.column_stack([dense / 10, np.ones(n)])
     for _ in range(ROUNDS):
-        miss = sigmoid(np.bincount(docs, v[feats], n) + full @ u) - y
-        d = np.bincount(feats, miss[docs], len(top)) / n + PENALTY * v
+        miss = sigmoid(np.bincount(docs, v[feats] * vals, n) + full @ u) - y
+        d = np.bincount(feats, miss[docs] * vals, len(top)) / n + PENALTY * v
         e = full.T @ miss / n
         gv += d * d
         gu += e * e
@@ -106,17 +121,17 @@ def fit_linear(docs, feats, dense, y, n_feats):
     return w, u[:-1] / 10, u[-1]
 
 
-def fit_chain(names: list[str], docs, feats, labels: np.ndarray, folds: np.ndarray) -> Chain:
+def fit_chain(names: list[str], docs, feats, counts, n_words, labels: np.ndarray, folds: np.ndarray) -> Chain:
     """Fit all categories; ``labels`` documents x categories, NaN where unknown."""
-    n = len(labels)
+    n, vals = len(labels), values(counts, n_words[docs])
     used, feats = np.unique(feats, return_inverse=True)
     weights, links, bias = np.zeros((len(names), BUCKETS)), np.zeros((len(names), len(names))), np.zeros(len(names))
-    earlier = np.zeros((n, 0))
+    earlier = length(n_words)[:, None]
 
     def fit(rows, y, dense):
         place = np.cumsum(rows) - 1
         part = rows[docs]
-        return fit_linear(place[docs[part]], feats[part], dense[rows], y[rows], len(used))
+        return fit_linear(place[docs[part]], feats[part], vals[part], dense[rows], y[rows], len(used))
 
     for k in range(len(names)):
         y = labels[:, k]
@@ -124,10 +139,10 @@ def fit_chain(names: list[str], docs, feats, labels: np.ndarray, folds: np.ndarr
         odds = np.zeros(n)
         for f in range(FOLDS):
             w, u, b = fit(known & (folds != f), y, earlier)
-            margin = np.bincount(docs, w[feats], n) + earlier @ u + b
+            margin = np.bincount(docs, w[feats] * vals, n) + earlier @ u + b
             odds[folds == f] = margin[folds == f]
         w, u, b = fit(known, y, earlier)
-        weights[k, used], links[k, :k], bias[k] = w, u, b
+        weights[k, used], links[k, : k + 1], bias[k] = w, u, b
         earlier = np.column_stack([earlier, np.clip(odds, -30, 30)])
     return Chain(names, weights.astype("float32"), links, bias)
 
@@ -144,19 +159,21 @@ def train(documents: DataFrame, labels: DataFrame, names: list[str], id_col: str
 
     def count(batches):
         for batch in batches:
-            rows = [sorted({b for w in set(WORD.findall(t.lower())) for b in word_features(w)}) for t in texts(batch)]
-            yield pa.record_batch([batch.column("id"), *[batch.column(n) for n in names], pa.array(rows, pa.list_(pa.int32()))], names=["id", *names, "f"])
+            words = [set(WORD.findall(t.lower())) for t in texts(batch)]
+            found = [sorted(Counter(b for w in ws for b in word_features(w)).items()) for ws in words]
+            lists = [pa.array([[x[k] for x in row] for row in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.record_batch([batch.column("id"), *[batch.column(n) for n in names], *lists, pa.array([len(ws) for ws in words], pa.int32())], names=["id", *names, "f", "c", "n_words"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"`{n}` double" for n in names) + ", f array<int>"
+    schema = f"id {kind}, " + ", ".join(f"`{n}` double" for n in names) + ", f array<int>, c array<int>, n_words int"
     got = joined.select("id", *names, "text").mapInArrow(count, schema).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(FOLDS)).cast("int"))
     got = got.orderBy("id").toArrow()
-    feats = got.column("f").combine_chunks()
+    feats, counts = (got.column(c).combine_chunks() for c in "fc")
     sizes = np.diff(feats.offsets.to_numpy()) if got.num_rows else np.zeros(0, "int64")
     docs = np.repeat(np.arange(got.num_rows), sizes)
-    flat = feats.flatten().to_numpy(zero_copy_only=False).astype("int64")
+    flat, counts = (x.flatten().to_numpy(zero_copy_only=False).astype("int64") for x in (feats, counts))
     y = np.column_stack([got.column(n).to_numpy().astype("float64") for n in names]) if got.num_rows else np.zeros((0, len(names)))
-    return fit_chain(names, docs, flat, y, got.column("fold").to_numpy())
+    return fit_chain(names, docs, flat, counts, got.column("n_words").to_numpy().astype("int64"), y, got.column("fold").to_numpy())
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,26 +187,27 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
     token = f"toxicity {zlib.crc32(chain.weights.tobytes())} {chain.bias.tolist()}"
 
     def predict(batches):
-        # Words met so far, and the weighted features of those that have any.
+        # Words met so far, and the summed weights of those that have any.
         met, telling = per_worker(token, lambda: (set(), {}))
         width, live = len(chain.names), np.flatnonzero(chain.weights.any(axis=0)).tolist()
-        used, columns = set(live), dict(zip(live, chain.weights[:, live].T.astype("float64")))
+        used, columns = set(live), dict(zip(live, chain.weights[:, live].T.astype("float64").tolist()))
         for batch in batches:
-            sums = np.zeros((batch.num_rows, width))
+            sums, n_words = np.zeros((batch.num_rows, width)), np.zeros(batch.num_rows)
             for k, t in enumerate(batch.column(text_at).to_pylist()):
                 words = set(WORD.findall((t or "").lower()))
                 if len(met) > KNOWN:
                     met.clear()
                     telling.clear()
                 for w in words - met:
-                    got = tuple(b for b in word_features(w) if b in used)
+                    got = [columns[b] for b in sorted(word_features(w) & used)]
                     if got:
-                        telling[w] = got
+                        telling[w] = tuple(math.fsum(x) for x in zip(*got))
                 met |= words
-                found = {b for w in words if w in telling for b in telling[w]}
+                n_words[k] = len(words)
+                found = [telling[w] for w in words if w in telling]
                 if found:
-                    sums[k] = np.sum([columns[b] for b in sorted(found)], axis=0)
-            p = sigmoid(chain.odds(sums))
+                    sums[k] = [math.fsum(x) for x in zip(*found)]  # exact, so in any order of the words
+            p = sigmoid(chain.odds(sums, n_words))
             yield pa.record_batch([*batch.columns, *[pa.array(p[:, k]) for k in range(width)]], names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in names)
