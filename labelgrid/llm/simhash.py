@@ -28,7 +28,6 @@ RADIUS = 2
 SEED = 42
 #: Fingerprints of a shard up to which a BK-tree is used; a larger one is split on its other bits.
 TREE = 1500
-WORD = 0xFFFFFFFFFFFFFFFF
 
 # The blanks that part words, and A-Z to a-z.
 BLANKS = bytes([32, *range(9, 14)])
@@ -131,10 +130,10 @@ def shard_links(values: np.ndarray, free: int = 0xFFFFFFFFFFFFFFFF) -> list[tupl
     return forest(values, RADIUS)
 
 
-def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def forest(values: np.ndarray, radius: int, names: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links up to ``radius``, the closest first for each value.
 
-    Rows of two words are one fingerprint of 128 bits; a link names the first words.
+    Rows of two words are one fingerprint of 128 bits.  A link gives the ``names`` of its ends, else the values.
     """
     tree, roots, out = BkTree(), [], []
 
@@ -151,7 +150,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             a, b = root(n), root(k)
             if a != b:
                 roots[max(a, b)] = min(a, b)
-                out.append((v & WORD, tree.values[k] & WORD))
+                out.append((names[n], names[k]) if names else (v, tree.values[k]))
     return out
 
 
@@ -256,10 +255,20 @@ def _table_bits(number: int) -> list[int]:
     return random.Random(1000 + number).sample(range(64), 64)
 
 
+def _near(number: int, rows: np.ndarray) -> list[tuple[int, int]]:
+    """Forest of a shard's nodes, rows of both words and the node; of those with equal words one is searched for the others."""
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+    names = rows[:, 2].tolist()
+    chain = [(names[k + 1], names[k]) for k in np.flatnonzero(same).tolist()]
+    return chain + _crowded(number, rows[np.concatenate([[True], ~same])])
+
+
 def _crowded(number: int, values: np.ndarray, used: int = TABLE_BITS) -> list[tuple[int, int]]:
     """Forest of a shard; a crowded one first splits on six more bits of its table's order."""
     if len(values) <= TREE or used > 58:
-        return forest(values, REACH)
+        return forest(values[:, :2], REACH, values[:, 2].tolist())
     mask = np.uint64(sum(1 << k for k in _table_bits(number)[used : used + 6]))
     key = values[:, 0] & mask
     order = np.argsort(key, kind="stable")
@@ -281,42 +290,45 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     SimHash fingerprints of two words, the second of the same shingles hashed again, are sharded by sampled bits of the
     first; in a shard a BK-tree links each to the closest within REACH bits of both.  A link counts if the bottom sketches of both put their likeness at ``similarity`` or more (exact below
-    SKETCH shingles); equal fingerprints need no check.  Texts without words share the fingerprint zero and form
+    SKETCH shingles); only texts with the same set of shingles (by a hash of 64 bits) are alike without a check.  Texts without words form
     one group; rows with a NULL id take part; repeated rows stay; an empty frame gives no rows.
     """
 
     def run(batches):
         for batch in batches:
-            fps, more, sketches = [], [], []
+            sets, fps, more, sketches = [], [], [], []
             for t in texts(batch):
                 h = shingles(t, words)
+                distinct = np.unique(h)
+                sets.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
                 fps.append(majority(h))
                 more.append(majority(_rehashed(h)))
-                sketches.append(np.unique(h)[:SKETCH].view("i8"))
-            yield pa.record_batch([batch.column("id"), pa.array(np.array(fps, "uint64").view("int64")), pa.array(np.array(more, "uint64").view("int64")), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "fp", "more", "sketch"])
+                sketches.append(distinct[:SKETCH].view("i8"))
+            yield pa.record_batch([batch.column("id"), *(pa.array(np.array(c, "uint64").view("int64")) for c in (sets, fps, more)), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "node", "fp", "more", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, more long, sketch array<long>")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, fp long, more long, sketch array<long>")
     docs = materialize(docs, "sketched")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first"), F.any_value(F.struct("more", "sketch")).alias("s")).select("fp", "first", "s.more", "s.sketch"), "nodes")
+    # Repeats of words count in a fingerprint, not in the set: one set may have several, and any of them will do.
+    nodes = materialize(docs.groupBy("node").agg(F.min("id").alias("first"), F.any_value(F.struct("fp", "more", "sketch")).alias("s")).select("node", "first", "s.fp", "s.more", "s.sketch"), "nodes")
 
     def deal(batches):
         masks = [_table_bits(n)[:TABLE_BITS] for n in range(TABLES)]
         for batch in batches:
-            fps, more = batch.column("fp").to_numpy(), batch.column("more")
+            fps, rest = batch.column("fp").to_numpy(), (batch.column("more"), batch.column("node"))
             for n, bits in enumerate(masks):
                 key = sum((fps >> b & 1) << k for k, b in enumerate(bits))
-                yield pa.record_batch([pa.array(fps), more, pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "more", "number", "bits"])
+                yield pa.record_batch([pa.array(fps), *rest, pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "more", "node", "number", "bits"])
 
-    dealt = nodes.select("fp", "more").mapInArrow(deal, "fp long, more long, number int, bits long")
-    edges = _by_shard(dealt, _crowded).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("s_a"))
-    right = nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("s_b"))
+    dealt = nodes.select("fp", "more", "node").mapInArrow(deal, "fp long, more long, node long, number int, bits long")
+    edges = _by_shard(dealt, _near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("s_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("s_b"))
     alike = edges.join(left, "a").join(right, "b").where(_alike("s_a", "s_b") >= similarity).select("a", "b")
     tree = components(alike)
-    rooted = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("fp", "group_id")
-    return docs.select("id", "fp").join(label, "fp").select(F.col("id").alias(id_col), "group_id")
+    rooted = nodes.select("node", "first").join(tree, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("node", "group_id")
+    return docs.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "group_id")
 
 
 def _alike(a: str, b: str):

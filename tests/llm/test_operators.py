@@ -457,3 +457,13 @@ def test_pipeline_stages(spark, none):
     assert {r.doc_id for r in packed} == set(left)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def test_near_copies_checks_equal_fingerprints(spark):
+    # The run of one word fills over half of the positions, so it alone makes the fingerprint.
+    rng = random.Random(6)
+    rows = [(k, " ".join([f"u{rng.randrange(10**6)}" for _ in range(60)] + ["x"] * 100)) for k in range(6)]
+    rows += [(10, rows[0][1] + " x x"), (11, rows[1][1])]  # the same shingles, repeated
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(6)} | {10: 0, 11: 1}
