@@ -26,7 +26,7 @@ from labelgrid.plans.materialize import materialize
 
 RADIUS = 2
 SEED = 42
-#: Fingerprints of a shard up to which a BK-tree is used; a larger one is split on its other bits.
+#: Fingerprints of a shard up to which a BK-tree is used; a larger one of op6 is split on its other bits, one of near copies scanned.
 TREE = 1500
 
 # The blanks that part words, and A-Z to a-z.
@@ -251,31 +251,37 @@ SIMILARITY = 0.8
 
 
 def _table_bits(number: int) -> list[int]:
-    """The bits of a table, then the order in which a crowded shard takes more."""
-    return random.Random(1000 + number).sample(range(64), 64)
+    return random.Random(1000 + number).sample(range(64), TABLE_BITS)
 
 
-def _near(number: int, rows: np.ndarray) -> list[tuple[int, int]]:
+def _near(rows: np.ndarray) -> list[tuple[int, int]]:
     """Forest of a shard's nodes, rows of both words and the node; of those with equal words one is searched for the others."""
     order = np.lexsort(rows.T[::-1])
     rows = rows[order]
     same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
     names = rows[:, 2].tolist()
     chain = [(names[k + 1], names[k]) for k in np.flatnonzero(same).tolist()]
-    return chain + _crowded(number, rows[np.concatenate([[True], ~same])])
-
-
-def _crowded(number: int, values: np.ndarray, used: int = TABLE_BITS) -> list[tuple[int, int]]:
-    """Forest of a shard; a crowded one first splits on six more bits of its table's order."""
-    if len(values) <= TREE or used > 58:
-        return forest(values[:, :2], REACH, values[:, 2].tolist())
-    mask = np.uint64(sum(1 << k for k in _table_bits(number)[used : used + 6]))
-    key = values[:, 0] & mask
-    order = np.argsort(key, kind="stable")
-    out = []
-    for part in np.split(values[order], np.flatnonzero(np.diff(key[order])) + 1):
-        if len(part) > 1:
-            out += _crowded(number, part, used + 6)
+    rows = rows[np.concatenate([[True], ~same])]
+    return chain + (_scan(rows, REACH) if len(rows) > TREE else forest(rows[:, :2], REACH, rows[:, 2].tolist()))
+
+
+def _scan(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Like ``forest``, for a shard too crowded for a tree: each row (two words, then its name) meets all not yet reached, in memory of its size."""
+    names, out = values[:, 2].tolist(), []
+    left = np.arange(1, len(values))
+    todo = [0]
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+            continue
+        k = todo.pop()
+        away = np.bitwise_count(values[left, 0] ^ values[k, 0]) + np.bitwise_count(values[left, 1] ^ values[k, 1])
+        near = away <= radius
+        if near.any():
+            found = left[near].tolist()
+            out += [(names[n], names[k]) for n in found]
+            todo += found
+            left = left[~near]
     return out
 
 
@@ -313,7 +319,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     nodes = materialize(docs.groupBy("node").agg(F.min("id").alias("first"), F.any_value(F.struct("fp", "more", "sketch")).alias("s")).select("node", "first", "s.fp", "s.more", "s.sketch"), "nodes")
 
     def deal(batches):
-        masks = [_table_bits(n)[:TABLE_BITS] for n in range(TABLES)]
+        masks = [_table_bits(n) for n in range(TABLES)]
         for batch in batches:
             fps, rest = batch.column("fp").to_numpy(), (batch.column("more"), batch.column("node"))
             for n, bits in enumerate(masks):
@@ -321,7 +327,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 yield pa.record_batch([pa.array(fps), *rest, pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "more", "node", "number", "bits"])
 
     dealt = nodes.select("fp", "more", "node").mapInArrow(deal, "fp long, more long, node long, number int, bits long")
-    edges = _by_shard(dealt, _near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = _by_shard(dealt, lambda number, rows: _near(rows)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("s_b"))
     alike = edges.join(left, "a").join(right, "b").where(_alike("s_a", "s_b") >= similarity).select("a", "b")

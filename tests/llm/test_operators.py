@@ -467,3 +467,18 @@ def test_near_copies_checks_equal_fingerprints(spark):
     assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
     got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k for k in range(6)} | {10: 0, 11: 1}
+
+
+def test_near_copies_crowded_shard():
+    # More fingerprints of one table's bits than a tree takes; the two of a pair are 19 bits apart.
+    rng = random.Random(1)
+    fixed = simhash._table_bits(0)[: simhash.TABLE_BITS]
+    free = [k for k in range(128) if k not in fixed]
+    rows = []
+    for n in range(simhash.TREE):
+        v = sum(rng.getrandbits(1) << k for k in free)
+        rows += [(w % 2**64, w >> 64, 2 * n + k) for k, w in enumerate((v, v ^ sum(1 << k for k in rng.sample(free, 19))))]
+    root = list(range(len(rows)))
+    for a, b in simhash._near(np.array(rows, "u8")):
+        root = [root[b] if r == root[a] else r for r in root] if root[a] != root[b] else root
+    assert all(root[2 * n] == root[2 * n + 1] for n in range(simhash.TREE))
