@@ -295,7 +295,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """``id, group_id``: documents whose shingles of ``words`` words are alike, by the group's smallest id.
 
     SimHash fingerprints of two words, the second of the same shingles hashed again, are sharded by sampled bits of the
-    first; in a shard a BK-tree links each to the closest within REACH bits of both.  A link counts if the bottom sketches of both put their likeness at ``similarity`` or more (exact below
+    first; in a shard a BK-tree links each to the closest within REACH bits of both.  Where such links fail, all that hangs together by
+    them is compared (see ``_searched``).  A link counts if the bottom sketches of both put their likeness at ``similarity`` or more (exact below
     SKETCH shingles); only texts with the same set of shingles (by a hash of 64 bits) are alike without a check.  Texts without words form
     one group; rows with a NULL id take part; repeated rows stay; an empty frame gives no rows.
     """
@@ -330,13 +331,85 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     edges = _by_shard(dealt, lambda number, rows: _near(rows)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("s_b"))
-    alike = edges.join(left, "a").join(right, "b").where(_alike("s_a", "s_b") >= similarity).select("a", "b")
-    tree = components(alike)
-    rooted = nodes.select("node", "first").join(tree, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    judged = materialize(edges.join(left, "a").join(right, "b").select("a", "b", (_alike("s_a", "s_b") >= similarity).alias("alike")), "judged")
+    tree = components(judged.where("alike").select("a", "b"))
+    rooted = materialize(nodes.select("node", "first", "sketch").join(tree, "node", "left").select("node", "first", "sketch", F.coalesce("root", "node").alias("root")), "rooted")
+    # A link that failed stands for others that the forest left out: what failed links hold together is searched again, by sketches.
+    root = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    failed = judged.where("NOT alike").join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    more = components(_searched(rooted, components(failed), similarity))
+    rooted = rooted.select("node", "first", "root").join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "first", F.coalesce("top", "root").alias("root"))
     label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("node", "group_id")
     return docs.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "group_id")
 
 
+def _searched(rooted: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between the roots of each group whose members (``rooted``: ``root, sketch``) have sketches that are alike.
+
+    A group of up to TREE members is one shard.  A larger one is dealt by the least hashes of its sketches: sketches that
+    are alike share one of so many, or there would be more unlike hashes below their first common one than a likeness allows.
+    """
+    prefix = int((1 - similarity) * SKETCH) + 1
+    whole = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())  # components leave out the root itself
+    members = rooted.join(whole.select(F.col("node").alias("root"), F.col("root").alias("part")), "root").select("part", "root", "sketch")
+    sizes = members.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("root").alias("roots")).where("roots > 1")
+    keys = F.when(F.col("n") <= TREE, F.array(F.lit(0).cast("long"))).otherwise(F.slice("sketch", 1, prefix))
+    dealt = members.join(sizes, "part").select("part", "root", "sketch", F.explode(keys).alias("key"))
+
+    def solve(shard: pa.Table) -> pa.Table:
+        lists = shard.column("sketch").combine_chunks()
+        found = joined(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view("u8"), shard.column("root").to_numpy(), similarity)
+        ends = np.array(found, "i8").reshape(-1, 2)
+        return pa.table({"a": ends[:, 0].copy(), "b": ends[:, 1].copy()})
+
+    return dealt.groupBy("part", "key").applyInArrow(solve, "a long, b long")
+
+
+def joined(sizes: np.ndarray, hashes: np.ndarray, roots: np.ndarray, similarity: float, block: int = 4096) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``roots`` by sketches, given one after the other; the likeness is that of ``_alike``.
+
+    Every member meets all that are not yet reached, so a group of copies takes one round and no failed pair hides a link.
+    """
+    names, cluster = np.unique(roots, return_inverse=True)
+    if len(names) < 2:
+        return []
+    values, codes = np.unique(hashes, return_inverse=True)
+    table = np.full((len(sizes), SKETCH), len(values), "i4")  # the code past the last is no hash
+    table[np.arange(SKETCH) < sizes[:, None]] = codes
+    order = np.argsort(cluster, kind="stable")
+    of = np.split(order, np.cumsum(np.bincount(cluster))[:-1])
+    mine, left, out = np.zeros(len(values) + 1, bool), np.ones(len(sizes), bool), []
+
+    def alike(k, rows):
+        mine[table[k, : sizes[k]]] = True
+        below = np.cumsum(mine) - mine
+        parts = []
+        for at in range(0, len(rows), block):
+            some = rows[at : at + block]
+            hit = mine[table[some]]
+            rank = np.arange(1, SKETCH + 1) + below[table[some]] - (np.cumsum(hit, axis=1) - hit)  # in the union
+            union = np.minimum(sizes[k] + sizes[some] - hit.sum(axis=1), SKETCH)
+            parts.append((hit & (rank <= SKETCH)).sum(axis=1) / np.maximum(union, 1) >= similarity)
+        mine[table[k, : sizes[k]]] = False
+        return np.concatenate(parts)
+
+    for first in range(len(names)):
+        if not left[of[first][0]]:
+            continue
+        left[of[first]] = False
+        todo = of[first].tolist()
+        while todo:
+            rows = np.flatnonzero(left)
+            if not len(rows):
+                return out
+            k = todo.pop()
+            for c in np.unique(cluster[rows[alike(k, rows)]]).tolist():
+                out.append((int(names[cluster[k]]), int(names[c])))
+                left[of[c]] = False
+                todo += of[c].tolist()
+    return out
+
+
 def _alike(a: str, b: str):
     """Jaccard estimate from two sketches (unsigned order; both ascending)."""
     flip = lambda x: F.transform(x, lambda h: h.bitwiseXOR(F.lit(-(2**63))))  # noqa: E731  signed order of unsigned hashes
