@@ -3,15 +3,17 @@
 Lengths are whole numbers up to the capacity, so the whole corpus is a histogram
 of at most ``capacity`` counts.  The driver packs that histogram: around the
 largest length left it enumerates undominated fillings, prunes by waste, and
-applies the best one as often as the counts allow.  So the plan has at most
-``capacity`` patterns at any corpus size; each document then finds its place
-from its rank among those of its length.
+applies the best one as often as the counts allow.  The plan is that or
+best-fit decreasing, whichever takes fewer sequences, so its patterns are bounded
+by ``capacity`` (some times it) at any corpus size; each document then finds its
+place from its rank among those of its length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,59 +40,95 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], steps: int, ke
     Best fit (always the largest that fits) is the first incumbent.  A branch stops when even filling
     the rest of the room with what is left could not beat the incumbents' waste.
     """
-    found: dict[tuple[int, ...], int] = {}
-    worst = room + 1  # waste that a new filling must stay under
-    left = steps
-
-    def search(space: int, top: int, chosen: list[int]) -> bool:
-        nonlocal worst, left
-        left -= 1
-        k = bisect_right(sizes, space, 0, top) - 1
-        maximal = True
-        while k >= 0 and left > 0:
-            s = sizes[k]
-            if s * counts[s] <= 0 or chosen.count(s) >= counts[s]:
-                k -= 1
+    reach = [0]  # what all smaller sizes hold together
+    for s in sizes:
+        reach.append(reach[-1] + s * counts[s])
+    space, best = room, []
+    for s in reversed(sizes):
+        n = min(space // s, counts[s])
+        best += [s] * n
+        space -= s * n
+    found = {tuple(best): space}
+    worst = space if keep == 1 else room + 1  # waste that a new filling must stay under
+    # A step decides how often one size is taken, most first: room, sizes below, what is chosen, least size passed over.
+    stack = [(room, len(sizes), (), room + 1, None)]
+    while stack and steps > 0 and worst > 0:
+        space, top, chosen, least, times = stack.pop()
+        steps -= 1
+        if times is None:
+            if space - reach[top] >= worst:
                 continue
-            maximal = False
-            chosen.append(s)
-            done = search(space - s, k + 1, chosen)
-            chosen.pop()
-            if done:
-                return True
-            k -= 1
-        if maximal and space < worst and undominated(chosen, space, sizes, counts):
-            found[tuple(chosen)] = space
-            if len(found) > keep:
-                found.pop(max(found, key=found.get))
-            if len(found) == keep:
-                worst = max(found.values())
-        return len(found) == keep and worst == 0
-
-    search(room, len(sizes), [])
-    if not found:  # the steps ran out inside the first descent
-        space, best = room, []
-        for s in reversed(sizes):
-            n = min(space // s, counts[s])
-            best += [s] * n
-            space -= s * n
-        found[tuple(best)] = space
+            top = bisect_right(sizes, space, 0, top) - 1
+            while top >= 0 and counts[sizes[top]] <= 0:
+                top -= 1
+            if top < 0:
+                if space < least and space < worst:
+                    filling = tuple(s for s, n in chosen for _ in range(n))
+                    if undominated(filling, space, sizes, counts):
+                        found[filling] = space
+                        if len(found) > keep:
+                            found.pop(max(found, key=found.get))
+                        if len(found) == keep:
+                            worst = max(found.values())
+                continue
+            times = min(counts[sizes[top]], space // sizes[top])
+        s = sizes[top]
+        if times > 0:
+            stack.append((space, top, chosen, least, times - 1))
+        passed = least if times == counts[s] else min(least, s)
+        stack.append((space - s * times, top, (*chosen, (s, times)) if times else chosen, passed, None))
     return sorted(found, key=found.get)
 
 
-def undominated(chosen: list[int], waste: int, sizes: list[int], counts: dict[int, int]) -> bool:
+def undominated(chosen: tuple[int, ...], waste: int, sizes: list[int], counts: dict[int, int]) -> bool:
     """No left-out size can take the place of one or two chosen ones within the room (the larger piece dominates)."""
-    used = set(chosen)
-    groups = used | {a + b for k, a in enumerate(chosen[:12]) for b in chosen[k + 1 : 12]}
+    used = Counter(chosen)
+    groups = set(used) | {a + b for k, a in enumerate(chosen[:12]) for b in chosen[k + 1 : 12]}
     for g in groups:
         k = bisect_right(sizes, g + waste) - 1
         while k >= 0 and sizes[k] > g:
-            if chosen.count(sizes[k]) < counts[sizes[k]]:
+            if used[sizes[k]] < counts[sizes[k]]:
                 return False
             k -= 1
     return True
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing: each piece, largest first, into the fullest sequence that has room, or a new one.
+
+    Sequences filled alike are one entry with their number.  Of those with the least room that will do, each takes pieces
+    of a size until it has room for none, as it is then the fullest.
+    """
+    open_, rooms, out = {}, [], []  # room to (pattern, number); the rooms, ascending
+    for s in sorted(histogram, reverse=True):
+        n = histogram[s]
+        while n:
+            at = bisect_left(rooms, s)
+            if at < len(rooms):
+                room = rooms[at]
+                pattern, number = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, pattern, number = capacity, (), n
+            each = min(room // s, n)
+            some = min(number, n // each)
+            n -= some * each
+            if pattern and some < number:
+                _add(open_, rooms, room, pattern, number - some)
+            _add(open_, rooms, room - s * each, (*pattern, *[s] * each), some)
+    for entries in open_.values():
+        out += entries
+    return out
+
+
+def _add(open_, rooms, room, pattern, number):
+    if room not in open_:
+        open_[room] = []
+        insort(rooms, room)
+    open_[room].append((pattern, number))
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; every length is placed as often as it occurs."""
     histogram = dict(histogram)
@@ -98,7 +136,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     alone = [((capacity,), full)] if full else []
     total = sum(s * n for s, n in histogram.items())
     bound = -(-total // capacity)
-    best = _greedy(histogram, capacity, 1)  # best-fit decreasing: the first incumbent
+    best = best_fit(histogram, capacity)  # the first incumbent
     used = sum(n for _, n in best)
     if used > bound:
         other = _greedy(histogram, capacity, STEPS)

@@ -537,3 +537,47 @@ def test_joined_equals_brute_force():
         want = [(int(roots[a]), int(roots[b])) for a in range(n) for b in range(a) if near(sets[a], sets[b]) >= 0.8]
         got = simhash.joined(np.array([len(s) for s in sets]), np.concatenate(sets), roots, 0.8, 16)
         assert parts(got) == parts(want) and len(got) == len(set(roots.tolist())) - len(parts(want))
+
+
+def test_searched_deals_large_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    bottom = [np.unique(simhash.shingles(t, 5))[: simhash.SKETCH] for _ in range(6) for t in star(rng, 9)]
+    rooted = spark.createDataFrame([(k, b.view("i8").tolist()) for k, b in enumerate(bottom)], "root long, sketch array<long>")
+    groups = spark.createDataFrame([(k, 0) for k in range(1, len(bottom))], "node long, root long")
+    found = []
+    for limit in (1500, 10):
+        monkeypatch.setattr(simhash, "TREE", limit)
+        root = list(range(len(bottom)))
+        for e in simhash._searched(rooted, groups, 0.8).collect():
+            root = [min(root[e.a], root[e.b]) if r in (root[e.a], root[e.b]) else r for r in root]
+        found.append(root)
+    want = list(range(len(bottom)))
+    for x in range(len(bottom)):
+        for y in range(x):
+            union = np.union1d(bottom[x], bottom[y])[: simhash.SKETCH]
+            if len(np.intersect1d(np.intersect1d(bottom[x], bottom[y]), union)) >= 0.8 * len(union):
+                want = [min(want[x], want[y]) if r in (want[x], want[y]) else r for r in want]
+    assert found == [want, want]
+
+
+def test_plan_is_never_worse_than_best_fit():
+    def best_fit(items, cap):
+        rooms = []
+        for s in sorted(items, reverse=True):
+            fit = [r for r in rooms if r >= s]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else cap) - s)
+        return len(rooms)
+
+    rng = random.Random(1)
+    cases = [[1400] * 300 + [rng.randint(100, 3000) for _ in range(600)], [900] * 300 + [rng.randint(300, 2500) for _ in range(600)], [rng.randint(1000, 2100) for _ in range(400)]]
+    cases += [[1] * 9000 + [3000] * 3 + [4000] * 2, [1000] * 8]  # thousands of pieces in one sequence
+    for items in cases:
+        plan = packing.plan(Counter(items), 4096)
+        used = Counter()
+        for p, n in plan:
+            used += Counter({s: k * n for s, k in Counter(p).items()})
+        assert used == Counter(items) and all(sum(p) <= 4096 for p, _ in plan)
+        want = best_fit(items, 4096) if len(items) < 2000 else 7
+        assert sum(n for _, n in packing.best_fit(Counter(items), 4096)) == want >= sum(n for _, n in plan)
