@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go but for the first; so do documents that had nothing else."""
-    out = lines.drop_recurring_lines(docs)
+    """Recurring lines go but for the first, short ones too; so do documents that had nothing else."""
+    out = lines.drop_recurring_lines(docs, shortest=1)
     left = out.where((F.col("lines_dropped") == 0) | (F.trim("text") != ""))
     return _sized(left.select(*docs.columns))
 

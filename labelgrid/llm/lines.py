@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from labelgrid.llm.common import row_key
 from labelgrid.plans.materialize import materialize
 
-#: Leading tokens that lead to a leaf; shorter lines are left alone.
+#: Leading tokens that lead to a leaf; all of a shorter line, where those take part.
 LEADING = 3
 #: Share of positions that must agree with the template.
 AGREE = 0.7
@@ -37,23 +37,23 @@ def with_masked(docs: DataFrame, text: str) -> DataFrame:
     return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``rk, doc, pos, m, n, leaf`` for each line of at least LEADING tokens.
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """``rk, doc, pos, m, n, leaf`` for each line of at least ``shortest`` tokens (1 or more).
 
     Texts are masked before they are split: an expression under a filter on lines would be worked out twice.
     """
     lines = with_masked(docs, "body").select("rk", "doc", F.posexplode(F.split("m", "\n")).alias("pos", "m"))
-    lines = lines.where(F.col("m").like("% % %")).withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1)
+    lines = lines.where(F.col("m").like("_%" + " %" * (shortest - 1))).withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1)
     return lines.withColumn("leaf", F.md5(F.concat(F.col("n").cast("string"), F.lit(" "), F.substring_index("m", " ", LEADING))))
 
 
-def recurring_lines(df: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(df: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, shortest: int = LEADING) -> DataFrame:
     """``rk, drop``: the positions of lines to drop, for each document that has any."""
     docs = df.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     # Which leaves occur in enough documents: hashes only, combined before the shuffle.
-    often = _lines(docs.select("rk", F.lit(0).alias("doc"), "body")).groupBy("leaf", "rk").agg(F.lit(1).alias("one")).groupBy("leaf").count()
+    often = _lines(docs.select("rk", F.lit(0).alias("doc"), "body"), shortest).groupBy("leaf", "rk").agg(F.lit(1).alias("one")).groupBy("leaf").count()
     often = often.where(F.col("count") >= min_docs).select("leaf")
-    hot = materialize(_lines(docs).join(often, "leaf", "left_semi").select("leaf", "rk", "doc", "pos", "n", "m"), "lines")
+    hot = materialize(_lines(docs, shortest).join(often, "leaf", "left_semi").select("leaf", "rk", "doc", "pos", "n", "m"), "lines")
     # Copies of a line count once with their number, so a hot line is one row per task.
     kinds = hot.groupBy("leaf", "m").count()
     tokens = kinds.select("leaf", "count", F.posexplode(F.split("m", " ")).alias("i", "t"))
@@ -70,14 +70,14 @@ def recurring_lines(df: DataFrame, id_col: str, text_col: str, min_docs: int = M
     return drop.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, shortest: int = LEADING) -> DataFrame:
     """``df`` with recurring lines gone from ``text_col``; two columns follow: ``lines_total``, ``lines_dropped`` (int).
 
-    Lines end at ``\\n``.  The first line of a template is that of the smallest (id, row); NULL ids come first.  Rows
+    Lines of under ``shortest`` tokens and empty ones stay.  Lines end at ``\\n``.  The first line of a template is that of the smallest (id, row); NULL ids come first.  Rows
     equal in id and text are one document and get one result.  A NULL text stays NULL with 0 lines; an empty text has
     one line.  All other columns (but two of those names) and an empty frame pass unchanged.
     """
-    drops = recurring_lines(df, id_col, text_col, min_docs).withColumnsRenamed({"rk": RK, "drop": DROP})
+    drops = recurring_lines(df, id_col, text_col, min_docs, shortest).withColumnsRenamed({"rk": RK, "drop": DROP})
     joined = df.withColumn(RK, row_key(id_col, text_col)).join(drops, RK, "left")
     lines = F.split(text_col, "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(DROP, i))

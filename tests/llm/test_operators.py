@@ -581,3 +581,13 @@ def test_plan_is_never_worse_than_best_fit():
         assert used == Counter(items) and all(sum(p) <= 4096 for p, _ in plan)
         want = best_fit(items, 4096) if len(items) < 2000 else 7
         assert sum(n for _, n in packing.best_fit(Counter(items), 4096)) == want >= sum(n for _, n in plan)
+
+
+def test_pipeline_drops_short_recurring_lines(spark):
+    rows = [(k, f"Read more\nown words of text {'abcdefgh'[k]}{k} {k}\n\nSubscribe\n{'ijklmnop'[k]}") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 8):
+        left = got[k].split("\n")
+        assert "Read more" not in left and "Subscribe" not in left and left[-2:] == ["", "ijklmnop"[k]]
