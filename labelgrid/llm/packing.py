@@ -1,12 +1,14 @@
 """Best-fit packing by bin completion.
 
 Lengths are whole numbers up to the capacity, so the whole corpus is a histogram
-of at most ``capacity`` counts.  The driver packs that histogram: around the
-largest length left it enumerates undominated fillings, prunes by waste, and
-applies the best one as often as the counts allow.  The plan is that or
-best-fit decreasing, whichever takes fewer sequences, so its patterns are bounded
-by ``capacity`` (some times it) at any corpus size; each document then finds its
-place from its rank among those of its length.
+of at most ``capacity`` counts.  The driver packs that histogram: best-fit
+decreasing is the first incumbent, and where that needs more sequences than a
+lower bound, a branch and bound over bin completions looks for fewer: around the
+largest length left it enumerates undominated fillings, least waste first, cuts
+branches whose waste is out of reach, and goes back to try others, within a
+budget of steps.  The patterns are bounded by ``capacity`` (some times it) at
+any corpus size; each document then finds its place from its rank among those of
+its length.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from labelgrid.plans.materialize import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Search steps for one filling, and for the exact search of a small instance.
-STEPS, EXACT_STEPS, EXACT_ITEMS = 3000, 20_000, 60
+#: Steps for one list of fillings, and for the whole search; with those used up the best plan so far stands.
+STEPS, BUDGET = 500, 200_000
+#: Fillings tried around one length.
+TRIED = 8
 
 
 # -- the plan -----------------------------------------------------------------
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], steps: int, keep: int = 1) -> list[tuple[int, ...]]:
-    """Undominated multisets of ``sizes`` (ascending) for ``room``, least waste first, at most ``keep``.
+def fillings(room: int, sizes: list[int], counts: dict[int, int], steps: int, keep: int = 1) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated multisets of ``sizes`` (ascending) for ``room``, least waste first, at most ``keep``; and the steps it took.
 
     Best fit (always the largest that fits) is the first incumbent.  A branch stops when even filling
     the rest of the room with what is left could not beat the incumbents' waste.
@@ -51,7 +55,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], steps: int, ke
     found = {tuple(best): space}
     worst = space if keep == 1 else room + 1  # waste that a new filling must stay under
     # A step decides how often one size is taken, most first: room, sizes below, what is chosen, least size passed over.
-    stack = [(room, len(sizes), (), room + 1, None)]
+    stack, given = [(room, len(sizes), (), room + 1, None)], steps
     while stack and steps > 0 and worst > 0:
         space, top, chosen, least, times = stack.pop()
         steps -= 1
@@ -77,7 +81,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], steps: int, ke
             stack.append((space, top, chosen, least, times - 1))
         passed = least if times == counts[s] else min(least, s)
         stack.append((space - s * times, top, (*chosen, (s, times)) if times else chosen, passed, None))
-    return sorted(found, key=found.get)
+    return sorted(found, key=found.get), given - steps
 
 
 def undominated(chosen: tuple[int, ...], waste: int, sizes: list[int], counts: dict[int, int]) -> bool:
@@ -129,69 +133,96 @@ def _add(open_, rooms, room, pattern, number):
     open_[room].append((pattern, number))
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any plan needs: by volume, and with each length k up to half the capacity left out below k.
+
+    Lengths over half the capacity stand alone, those over ``capacity - k`` take nothing of k or more, and what the
+    others lack must hold the volume between k and the half.
+    """
+    sizes = np.array(sorted(histogram), "i8")
+    counts = np.array([histogram[s] for s in sizes.tolist()], "i8")
+    best = -(-int((sizes * counts).sum()) // capacity)
+    large = 2 * sizes > capacity
+    for k in {0, *sizes[2 * sizes <= capacity].tolist()}:
+        partner = large & (sizes <= capacity - k)
+        small = ~large & (sizes >= k)
+        room = int((counts * (capacity - sizes))[partner].sum())
+        best = max(best, int(counts[large].sum()) + max(0, -(-(int((counts * sizes)[small].sum()) - room) // capacity)))
+    return best
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; every length is placed as often as it occurs."""
-    histogram = dict(histogram)
+    histogram = {s: n for s, n in histogram.items() if n}
     full = histogram.pop(capacity, 0)  # a sequence each
     alone = [((capacity,), full)] if full else []
-    total = sum(s * n for s, n in histogram.items())
-    bound = -(-total // capacity)
-    best = best_fit(histogram, capacity)  # the first incumbent
-    used = sum(n for _, n in best)
-    if used > bound:
-        other = _greedy(histogram, capacity, STEPS)
-        if sum(n for _, n in other) < used:
-            best, used = other, sum(n for _, n in other)
-    if used > bound and sum(histogram.values()) <= EXACT_ITEMS:
-        best = _exact(histogram, capacity, best, bound)
-    return alone + best
-
-
-def _greedy(histogram, capacity, steps):
-    counts, sizes, out = dict(histogram), sorted(histogram), []
-    while sizes:
-        top = sizes[-1]
-        counts[top] -= 1
-        around = (top, *fillings(capacity - top, sizes, counts, steps)[0])
-        counts[top] += 1
-        times = min(counts[s] // around.count(s) for s in set(around))
-        out.append((around, times))
-        for s in around:
-            counts[s] -= times
-        sizes = [s for s in sizes if counts[s] > 0]
-    return out
+    return alone + (_complete(histogram, capacity, best_fit(histogram, capacity)) if histogram else [])
 
 
-def _exact(histogram, capacity, best, bound):
-    """Depth-first bin completion for a small instance: fillings in order of waste, cut off by the total waste allowed."""
-    limit, steps = sum(n for _, n in best), EXACT_STEPS
-    total = sum(s * n for s, n in histogram.items())
+def _complete(histogram, capacity, best):
+    """Depth-first bin completion from the incumbent ``best``; a decision is a filling and how often it is used.
 
-    def search(counts, bins, waste):
-        nonlocal best, limit, steps
-        sizes = sorted(s for s in counts if counts[s] > 0)
-        if not sizes:
-            if len(bins) < limit:
-                best, limit = [(b, 1) for b in bins], len(bins)
-            return limit == bound
-        if len(bins) + 1 >= limit and sum(s * counts[s] for s in sizes) > capacity or steps <= 0:
-            return False
-        top = sizes[-1]
-        less = counts | {top: counts[top] - 1}
-        for f in fillings(capacity - top, [s for s in sizes if less[s] > 0], less, 200, 8):
-            steps -= 1
-            lost = waste + capacity - top - sum(f)
-            if lost > (limit - 1) * capacity - total:  # one bin fewer is out of reach
+    The first is used as often as the counts allow; going back, others follow, then each of them fewer times.  What a
+    cut-off dive leaves is packed by best fit, so every dive ends in a plan.
+    """
+    limit, bound = sum(n for _, n in best), lower_bound(histogram, capacity)
+    total = sum(s * n for s, n in histogram.items())
+    counts, sizes = dict(histogram), sorted(histogram)
+    used = waste = spent = 0
+    path = []  # decisions taken: filling, times, and the choices left at that place
+
+    def choices():
+        """Yields fillings around the largest length with their times; those beyond the first cost a search of their own."""
+        nonlocal spent
+        top, seen = sizes[-1], []
+        for keep in (1, TRIED):
+            counts[top] -= 1
+            found, steps = fillings(capacity - top, sizes, counts, STEPS, keep)
+            counts[top] += 1
+            spent += steps + len(sizes) // 4
+            for f in found:
+                around = (top, *f)
+                if around not in seen:
+                    seen.append(around)
+                    yield around, min(counts[s] // n for s, n in Counter(around).items())
+        for around in seen:
+            for times in range(min(counts[s] // n for s, n in Counter(around).items()) - 1, 0, -1):
+                yield around, times
+
+    def take(around, times):
+        nonlocal used, waste
+        for s, n in Counter(around).items():
+            counts[s] -= n * times
+            if not counts[s] and times > 0:
+                del sizes[bisect_left(sizes, s)]
+            elif times < 0 and counts[s] == -n * times:
+                insort(sizes, s)
+        used += times
+        waste += times * (capacity - sum(around))
+
+    if limit == bound:
+        return best
+    left = choices()
+    while True:
+        decision = next(left, None)
+        if decision and waste + decision[1] * (capacity - sum(decision[0])) <= (limit - 1) * capacity - total:
+            path.append((*decision, left))
+            take(*decision)
+            rest = best_fit({s: counts[s] for s in sizes}, capacity) if spent > BUDGET and sizes else []
+            if used + sum(n for _, n in rest) < limit and (rest or not sizes):
+                best = [(f, n) for f, n, _ in path] + rest
+                limit = used + sum(n for _, n in rest)
+            if limit == bound or spent > BUDGET:
+                return best
+            if sizes:
+                left = choices()
                 continue
-            rest = dict(less)
-            for s in f:
-                rest[s] -= 1
-            if search(rest, [*bins, (top, *f)], lost):
-                return True
-        return False
-
-    search(dict(histogram), [], 0)
-    return best
+        elif decision:
+            continue  # a sequence fewer is out of reach from here; other fillings or fewer times may do
+        if not path:
+            return best
+        around, times, left = path.pop()
+        take(around, -times)
 
 
 def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

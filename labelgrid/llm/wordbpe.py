@@ -3,7 +3,8 @@
 The library drops white space and never merges across it, so a text's ids are
 those of its blank-separated chunks.  Chunks of common characters are split
 here and only new words go to the library's model, many at a time; all other
-chunks go through the whole library.
+chunks, those with a special token's text among them, go through the whole
+library, whose plain call turns that text into the special token's id.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ class WordBpe:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Tokens that the library finds before all else, as written; a chunk with one is left to it.
+        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.whole.get_vocab()
@@ -66,7 +68,7 @@ class WordBpe:
         out, split = {}, {}
         for c in new:
             low = c.lower()
-            if COMMON.fullmatch(low):
+            if COMMON.fullmatch(low) and not any(t in c for t in self.special):
                 split[c] = SPLIT.findall(low)
             else:
                 out[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
