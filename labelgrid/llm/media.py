@@ -21,6 +21,10 @@ TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES = 322, 323, 324, 325
 TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 RAW, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, EOI = 256, 257
+#: Bytes of samples of a page, or of a tile, at most: what an Arrow column of bytes can hold.
+SAMPLES = 2**31 - 2**16
+#: Bytes of media or samples in a batch (a larger value alone).
+BATCH = 64 << 20
 
 
 class MediaError(ValueError):
@@ -40,9 +44,10 @@ class Page:
 # -- compression --------------------------------------------------------------
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, k, n = [], 0, len(data)
-    while k < n:
+def unpack_bits(data: bytes, need: int) -> bytes:
+    """At least ``need`` bytes if the data hold them, and at most a run more."""
+    out, k, n, got = [], 0, len(data), 0
+    while k < n and got < need:
         head = data[k]
         if head < 128:
             out.append(data[k + 1 : k + 2 + head])
@@ -52,6 +57,8 @@ def unpack_bits(data: bytes) -> bytes:
             k += 2
         else:
             k += 1
+            continue
+        got += len(out[-1])
     return b"".join(out)
 
 
@@ -74,10 +81,10 @@ def pack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
+def unlzw(data: bytes, need: int) -> bytes:
+    """Codes of 9 to 12 bits, high bit first; the width grows one code early.  Stops once ``need`` bytes are there."""
     base = [bytes([k]) for k in range(256)] + [b"", b""]
-    table, out, last = list(base), [], None
+    table, out, last, got = list(base), [], None, 0
     width, buffer, have = 9, 0, 0
     for byte in data:
         buffer, have = (buffer << 8) | byte, have + 8
@@ -98,67 +105,70 @@ def unlzw(data: bytes) -> bytes:
         else:
             if code < len(table):
                 entry = table[code]
-            elif code == len(table):
+            elif code == len(table) < 4096:
                 entry = last + last[:1]
             else:
                 raise MediaError("LZW code out of range")
-            table.append(last + entry[:1])
+            if len(table) < 4096:
+                table.append(last + entry[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(entry)
         last = entry
+        got += len(entry)
+        if got >= need:
+            break
     return b"".join(out)
 
 
 def lzw(data: bytes) -> bytes:
-    out, have, value = bytearray(), 0, 0
-
-    def put(code, width):
-        nonlocal have, value
-        value, have = (value << width) | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(value >> have & 255)
-        value &= (1 << have) - 1
-
-    table, width, word, free = {}, 9, -1, 258
-    put(CLEAR, 9)
-    for b in data:
-        if word < 0:
-            word = b
-            continue
-        code = table.get((word, b))
+    out, have, value = [], 0, CLEAR  # bits not yet written, behind a leading clear code
+    table, width, free, have = {}, 9, 258, 9
+    if not data:
+        return _bits(value << 9 | EOI, 18)
+    word, known = data[0], table.get
+    for b in memoryview(data)[1:]:
+        key = word << 8 | b
+        code = known(key)
         if code is not None:
             word = code
             continue
-        put(word, width)
-        table[word, b] = free
+        value, have = value << width | word, have + width
+        table[key] = free
         free += 1
-        if free > (1 << width) - 1:
+        if free >> width:
             width += 1
         if free == 4094:
-            put(CLEAR, 12)
-            table, width, free = {}, 9, 258
+            value, have = value << 12 | CLEAR, have + 12
+            table.clear()
+            width, free = 9, 258
+        if have > 4096:
+            rest = have & 7
+            out.append((value >> rest).to_bytes(have >> 3, "big"))
+            value, have = value & (1 << rest) - 1, rest
         word = b
-    if word >= 0:
-        put(word, width)
-        if free + 1 > (1 << width) - 1 and width < 12:
-            width += 1
-    put(EOI, width)
-    if have:
-        put(0, 8 - have)
-    return bytes(out)
+    value, have = value << width | word, have + width
+    if free + 1 > (1 << width) - 1 and width < 12:
+        width += 1
+    out.append(_bits(value << width | EOI, have + width))
+    return b"".join(out)
 
 
-def expand(data: bytes, compression: int) -> bytes:
+def _bits(value: int, have: int) -> bytes:
+    """``have`` bits, filled up with zeros to whole bytes."""
+    return (value << (-have & 7)).to_bytes(-(-have // 8), "big")
+
+
+def expand(data: bytes, compression: int, need: int) -> bytes:
+    """What ``data`` hold, no more than about ``need`` bytes of it whatever they claim."""
     if compression == RAW:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if compression == LZW:
-        return unlzw(data)
+        return unlzw(data, need)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need)
     raise MediaError(f"compression {compression}")
 
 
@@ -207,35 +217,44 @@ def unpredict(block: np.ndarray, predictor: int) -> np.ndarray:
     return np.cumsum(block, axis=1, dtype=block.dtype)
 
 
-def read_pages(data: bytes) -> list[Page]:
-    """Every page, in the order of the directories; 8- or 16-bit samples, interleaved channels."""
-    pages = []
+def read_pages(data: bytes):
+    """Yields every page, in the order of the directories; 8- or 16-bit samples, interleaved channels.
+
+    A page of more than SAMPLES bytes, or fields that don't fit each other, are a MediaError.
+    """
     for order, tags in directories(data):
-        one = lambda tag, default=None: tags.get(tag, (default,))[0]
+        one = lambda tag, default=0: (tags.get(tag) or (default,))[0]
         width, height, channels = one(WIDTH), one(LENGTH), one(PER_PIXEL, 1)
-        bits, how, predictor = tags.get(BITS, (1,)), one(COMPRESSION, RAW), one(PREDICTOR, 1)
-        if not width or not height or len(set(bits)) != 1 or bits[0] not in (8, 16) or one(PLANAR, 1) != 1:
+        bits, how, predictor = tags.get(BITS) or (1,), one(COMPRESSION, RAW), one(PREDICTOR, 1)
+        if not width or not height or not channels or len(set(bits)) != 1 or bits[0] not in (8, 16) or one(PLANAR, 1) != 1:
             raise MediaError("unsupported layout")
         kind = np.dtype(order + ("u1" if bits[0] == 8 else "u2"))
-        image = np.zeros((height, width, channels), kind.newbyteorder("="))
         tiled = TILE_AT in tags
         wide, high = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS, height), height))
+        if not wide or not high:
+            raise MediaError("strips or tiles without a size")
         starts, sizes = (tags.get(TILE_AT), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_AT), tags.get(STRIP_BYTES))
         across, down = -(-width // wide), -(-height // high)
         if not starts or not sizes or len(starts) < across * down or len(sizes) < across * down:
             raise MediaError("missing strips or tiles")
-        for k in range(across * down):
-            y, x = k // across * high, k % across * wide
+        pixel = channels * kind.itemsize
+        if width * height * pixel > SAMPLES or wide * high * pixel > SAMPLES:
+            raise MediaError("too large a page")
+        rows_of = []  # bands of strips or tiles, so that no page is held before its data were seen to be there
+        for y in range(0, height, high):
+            band = []
             rows = high if tiled else min(high, height - y)
-            raw = expand(data[starts[k] : starts[k] + sizes[k]], how)
-            need = rows * wide * channels * kind.itemsize
-            if len(raw) < need:
-                raise MediaError("short strip or tile")
-            block = np.frombuffer(raw[:need], kind).reshape(rows, wide, channels).astype(kind.newbyteorder("="))
-            block = unpredict(block, predictor)
-            image[y : y + rows, x : x + wide] = block[: height - y, : width - x]
-        pages.append(Page(width, height, channels, bits[0], how, image.astype(kind.newbyteorder("<")).tobytes()))
-    return pages
+            for x in range(across):
+                k = y // high * across + x
+                need = rows * wide * pixel
+                raw = expand(data[starts[k] : starts[k] + sizes[k]], how, need)
+                if len(raw) < need:
+                    raise MediaError("short strip or tile")
+                block = np.frombuffer(raw[:need], kind).reshape(rows, wide, channels).astype(kind.newbyteorder("="))
+                band.append(unpredict(block, predictor)[: height - y, : width - x * wide])
+            rows_of.append(np.concatenate(band, axis=1) if across > 1 else band[0])
+        image = np.concatenate(rows_of)
+        yield Page(width, height, channels, bits[0], how, image.astype(kind.newbyteorder("<")).tobytes())
 
 
 # -- writing ------------------------------------------------------------------
@@ -288,37 +307,57 @@ def write_pages(pages: list[Page], order: str = "<", predictor: int = 1, tile: i
 def tiff_pages(df: DataFrame, media_col: str, keep: list[str], on_page=None, extra: str = "") -> DataFrame:
     """One row per page: the ``keep`` columns, then ``page, width, height, channels, bits, compression, error, samples``.
 
-    Unreadable bytes give one row with page NULL and the reason in ``error``; a NULL is unreadable.  Repeated rows
-    stay.  ``on_page(page) -> tuple`` replaces ``samples`` by the columns of ``extra`` (DDL), so that pixels need not
+    Unreadable bytes give one row with page NULL and the reason in ``error``; a NULL is unreadable, and
+    so are an empty value and one whose pages hold more than SAMPLES bytes.  Repeated rows stay; columns but ``keep`` are ignored, and one of ``keep`` named like an output is refused.  ``on_page(page) -> tuple`` replaces ``samples`` by the columns of ``extra`` (DDL), so that pixels need not
     leave the task; an empty frame gives no rows.
     """
     fields = "page int, width int, height int, channels int, bits int, compression int, error string, "
     names = [f.split()[0] for f in fields.split(", ") if f] + ([f.split()[0] for f in extra.split(", ")] if on_page else ["samples"])
+    if {c.lower() for c in keep} & {n.lower() for n in names}:
+        raise ValueError(f"a kept column is named like one of {names}")
     own = df.select(*keep, media_col)
-    schema = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep) + ", " + fields + (extra if on_page else "samples binary")
+    schema = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in keep) + fields + (extra if on_page else "samples binary")
     width = len(names) - 7
 
+    def pages(data):
+        """Rows of one value; of a damaged one a single row that gives the reason."""
+        rows, size = [], 0
+        try:
+            if data is None:
+                raise MediaError("NULL")
+            for n, p in enumerate(read_pages(data)):
+                rows.append((n, p.width, p.height, p.channels, p.bits, p.compression, None, *(on_page(p) if on_page else (p.samples,))))
+                size += len(p.samples)
+                if size > SAMPLES:
+                    raise MediaError("too large a file")
+            if not rows:
+                raise MediaError("no page")
+            return rows
+        except (MediaError, struct.error, zlib.error, ValueError, MemoryError, OverflowError) as e:
+            return [(None,) * 6 + (str(e) or type(e).__name__,) + (None,) * width]
+
     def decode(batches):
+        types = [pa.int32()] * 6 + [pa.string()] + ([] if on_page else [pa.binary()])
         for batch in batches:
             media = batch.column(len(keep))
-            for at in range(0, batch.num_rows, 256):
-                from_row, cols = [], [[] for _ in names]
-                for k in range(at, min(at + 256, batch.num_rows)):
-                    try:
-                        data = media[k].as_py()
-                        if data is None:
-                            raise MediaError("NULL")
-                        rows = [(n, p.width, p.height, p.channels, p.bits, p.compression, None, *(on_page(p) if on_page else (p.samples,))) for n, p in enumerate(read_pages(data))]
-                    except (MediaError, struct.error, zlib.error, ValueError, MemoryError) as e:
-                        rows = [(None,) * 6 + (str(e) or type(e).__name__,) + (None,) * width]
-                    for row in rows:
-                        from_row.append(k)
-                        for c, v in zip(cols, row):
-                            c.append(v)
-                take = pa.array(from_row, pa.int64())
-                types = [pa.int32()] * 6 + [pa.string()]
-                own_cols = [batch.column(i).take(take) for i in range(len(keep))]
-                yield pa.record_batch([*own_cols, *[pa.array(c, t) for c, t in zip(cols, types)], *[pa.array(c) for c in cols[7:]]], names=[*keep, *names])
+            from_row, cols, held = [], [[] for _ in names], 0
+
+            def made():
+                own_cols = [batch.column(i).take(pa.array(from_row, pa.int64())) for i in range(len(keep))]
+                return pa.record_batch([*own_cols, *[pa.array(c, t) for c, t in zip(cols, types)], *[pa.array(c) for c in cols[len(types) :]]], names=[*keep, *names])
+
+            for k in range(batch.num_rows):
+                for row in pages(media[k].as_py()):
+                    size = sum(len(v) for v in row[7:] if isinstance(v, bytes))
+                    if from_row and held + size > BATCH:
+                        yield made()
+                        from_row, cols, held = [], [[] for _ in names], 0
+                    from_row.append(k)
+                    held += size
+                    for c, v in zip(cols, row):
+                        c.append(v)
+            if from_row:
+                yield made()
 
     return own.mapInArrow(decode, schema)
 
@@ -333,7 +372,7 @@ def _stored(payload: bytes) -> bytes:
     if way == 0:
         page.compression = PACKBITS
         return write_pages([page])
-    if way == 1 and len(payload) <= 1 << 13:
+    if way == 1:
         page.compression = LZW
         return write_pages([page], order=">")
     if way == 2:
@@ -354,17 +393,23 @@ def texts_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def store(batches):
         import hashlib
 
+        def made(ids, rows):
+            sizes, padded, stored, sha, media = (list(c) for c in zip(*rows))
+            return pa.record_batch([ids, *[pa.array(c, pa.int64()) for c in (sizes, padded, stored)], pa.array(sha, pa.string()), pa.array(media, pa.binary())], names=["id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256", "media"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [(t or "").encode() for t in part.column("text").to_pylist()]
-                media, padded = [], []
-                for r in raw:
-                    payload = r + b" " * (-len(r) % UNIT if r else UNIT)
-                    padded.append(len(payload))
-                    media.append(_stored(payload))
-                sha = [hashlib.sha256(m).hexdigest() for m in media]
-                yield pa.record_batch([part.column("id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(padded, pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array(sha, pa.string()), pa.array(media, pa.binary())], names=["id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256", "media"])
+            first, rows, held = 0, [], 0
+            for k, text in enumerate(batch.column("text")):
+                raw = (text.as_py() or "").encode()
+                payload = raw + b" " * (-len(raw) % UNIT if raw else UNIT)
+                media = _stored(payload)
+                if rows and held + len(media) > BATCH:
+                    yield made(batch.column("id").slice(first, k - first), rows)
+                    first, rows, held = k, [], 0
+                rows.append((len(raw), len(payload), len(media), hashlib.sha256(media).hexdigest(), media))
+                held += len(media)
+            if rows:
+                yield made(batch.column("id").slice(first), rows)
 
     return docs.mapInArrow(store, f"id {kind}, n_bytes long, payload_bytes long, media_bytes long, media_sha256 string, media binary").withColumnRenamed("id", id_col)
 

@@ -399,17 +399,17 @@ def test_tiff_round_trip(how, order, bits):
             for w, h, c in ((33, 70, 3), (1, 1, 1), (200, 40, 1)):
                 data = (np.cumsum(rng.integers(0, 3, w * h * c)) // 5 % (1 << bits)).astype("<u1" if bits == 8 else "<u2").tobytes()
                 pages.append(media.Page(w, h, c, bits, how, data))
-            assert media.read_pages(media.write_pages(pages, order, predictor, tile, rows=16)) == pages
+            assert list(media.read_pages(media.write_pages(pages, order, predictor, tile, rows=16))) == pages
 
 
 def test_tiff_codecs():
     # The standard's own PackBits example.
     packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
-    assert media.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert media.unpack_bits(packed, 99) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
     rng = random.Random(1)
     for n in (0, 1, 2, 300, 5000, 60000):
         for data in (bytes(rng.randrange(256) for _ in range(n)), bytes(rng.randrange(3) for _ in range(n)), b"a" * n):
-            assert media.unlzw(media.lzw(data)) == data and media.unpack_bits(media.pack_bits(data)) == data
+            assert media.unlzw(media.lzw(data), n + 9) == data and media.unpack_bits(media.pack_bits(data), n + 9) == data
 
 
 def test_tiff_frames(spark, edge, none):
@@ -431,6 +431,39 @@ def test_tiff_frames(spark, edge, none):
     assert media.texts_as_media(none).collect() == []
 
 
+def test_tiff_damage_is_an_error_never_a_crash(spark):
+    rng = random.Random(11)
+    made = []
+    for how in (media.RAW, media.PACKBITS, media.LZW, media.DEFLATE):
+        for order, predictor, tile in (("<", 1, 0), (">", 2, 0), ("<", 2, 16)):
+            page = media.Page(20, 30, 3, 8, how, bytes(rng.randrange(4) for _ in range(1800)))
+            good = media.write_pages([page], order, predictor, tile, rows=8)
+            made += [good[:n] for n in range(0, len(good), 37)]
+            for _ in range(60):
+                bad = bytearray(good)
+                for _ in range(rng.randint(1, 4)):
+                    bad[rng.randrange(len(bad))] = rng.choice((0, 1, 255, rng.randrange(256)))
+                made.append(bytes(bad))
+            for _ in range(30):  # fields of the directory: counts, types and values
+                bad = bytearray(good)
+                bad[len(bad) - 1 - rng.randrange(180)] = rng.choice((0, 0, 255))
+                made.append(bytes(bad))
+    frame = spark.createDataFrame(list(enumerate(made)), "n int, media binary")
+    rows = media.tiff_pages(frame, "media", ["n"], lambda p: (len(p.samples),), "size bigint").collect()
+    assert {r.n for r in rows} == set(range(len(made)))
+    assert all((r.error is None) == (r.size is not None) for r in rows) and sum(r.error is not None for r in rows) > 200
+    # A small file that claims a large page, and a bomb: refused, or expanded no further than the page.
+    bomb = media.write_pages([media.Page(64, 3, 3, 8, media.DEFLATE, b"a" * 576)])
+    at = bomb.rindex(zlib.compress(b"a" * 576, 1))
+    huge = bytearray(media.write_pages([media.Page(2, 2, 1, 8, media.RAW, b"abcd")]))
+    k = huge.index(__import__("struct").pack("<HHII", 256, 4, 1, 2))
+    huge[k + 8 : k + 12] = b"\xff\xff\xff\x7f"
+    assert at >= 0 and len(media.expand(zlib.compress(b"a" * 10**7), media.DEFLATE, 576)) == 576
+    assert [r.error is None for r in media.tiff_pages(spark.createDataFrame([(bytes(huge),), (b"",)], "media binary"), "media", []).collect()] == [False, False]
+    with pytest.raises(ValueError):
+        media.tiff_pages(frame.withColumnRenamed("n", "page"), "media", ["page"])
+
+
 def test_sharding_edges(spark, edge, none):
     rows = [(None, 400)] * 30 + [(1, 300)] * 20 + [(2, 5000), (3, None)] + [(k, 90) for k in range(100, 300)]
     got = sharding.extendible_shards(spark.createDataFrame(rows, "k long, n long"), "k", F.col("n"), 1000).collect()
