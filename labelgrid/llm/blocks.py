@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Code points of a block's texts, at most (a longer text is a block of its own).
 BLOCK_CHARS = 16_000_000
@@ -135,7 +136,7 @@ def deal(docs: DataFrame, tokens: Callable[[], Callable[[str], list]], n: int, w
                 for k in range(0, len(out), 64):
                     yield rows(out[k : k + 64], ids.type)
 
-    return docs.select("id", "text").mapInArrow(run, schema(kind)).repartition(n, "key")
+    return docs.select("id", "text").mapInArrow(run, schema(kind)).repartitionById(n, F.col("key") % n)  # a bucket a partition, none shared
 
 
 def _runs(texts) -> Iterator[tuple[int, int]]:

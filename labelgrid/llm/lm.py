@@ -1,14 +1,23 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The probability of a word factors into that of its class given the two words
-before it, and of the word in its class.  Frequent words are classes of their
-own; the others share classes by frequency and shape, and words that training
-never saw are one class.  Class logits add up features of hashed buckets of the
-words before: the last one, the one before it (a skip), and their pair.
+The softmax is factored by classes: the probability of a word is that of its
+class given the two words before it, times that of the word among its class given
+the word before it.  Frequent words are classes of their own; the others share
+classes by frequency and shape, and words that training never saw are one class.
+
+Class logits add up features of hashed buckets of the words before: the last one,
+the one before it (a skip), and their pair.  Features meet classes in a table of
+fixed size, summed over all training tokens; gradient rounds run over its slices
+on the executors.
+
+In a class, a word's logit is its share of the class's tokens and the weight of
+the hashed pair of the word before and the word.  There is a weight for each pair
+that training has, so these grow with the corpus; they are never in one place:
+pairs are dealt by the word before and the class, whose normaliser they share, and
+each task runs the gradient rounds of its own and answers with sums by document.
 
 Word counts come from all training documents, each distinct word of a block
-being sent once.  Features meet classes in a table of fixed size, summed over
-all training tokens; gradient rounds run over its slices on the executors.
+being sent once, and each distinct pair of a block likewise.
 """
 
 from __future__ import annotations
@@ -33,6 +42,10 @@ BUCKETS, PAIRS = 128, 2048
 ROUNDS = 12
 #: Pseudo-counts in a step.
 EASE = 5.0
+#: Rounds for the pairs' weights, their Gaussian prior's precision, and the largest step.
+PAIR_ROUNDS, PRIOR, STEP = 16, 0.2, 2.0
+#: Bits of a pair's key that name the word; 32 more name the word before and the class.
+WORD_BITS = 24
 
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -157,21 +170,32 @@ class Lexicon:
         return np.where((rank >= 0) & (rank < half), rank, half + hashes.astype("i8") % (BUCKETS - half))
 
 
-def _tokens(body: bytes, lexicon: Lexicon):
-    """A block's documents as arrays over tokens: sizes, word numbers, counts, classes, and buckets of both words before."""
-    sizes, codes, table = blocks.unbundle(body)
-    counts, hashes, shapes = _read_table(table)
-    sizes = blocks.unpack(sizes).astype("i8")
-    word = blocks.resolve(blocks.unpack(codes), len(counts))
-    cls, bucket = lexicon.classes(counts, hashes, shapes), lexicon.buckets(counts, hashes)
-    end = bucket[word[sizes[0] - 1]]
-    starts = np.cumsum(sizes) - sizes
-    b = bucket[word]
-    one, two = np.empty_like(b), np.empty_like(b)
-    one[0], one[1:] = end, b[:-1]  # a document follows the end of another
-    two[:2], two[2:] = end, b[:-2]
-    two[starts] = end
-    return sizes, starts, word, counts, cls, one, two
+class Block:
+    """A block's documents as arrays over tokens: ``word`` and the one before (``prev``) as numbers of the block's words, buckets of both words before."""
+
+    def __init__(self, body: bytes, lexicon: Lexicon):
+        sizes, codes, table = blocks.unbundle(body)
+        self.counts, hashes, shapes = _read_table(table)
+        self.sizes = blocks.unpack(sizes).astype("i8")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.word = word = blocks.resolve(blocks.unpack(codes), len(self.counts))
+        self.cls, bucket = lexicon.classes(self.counts, hashes, shapes), lexicon.buckets(self.counts, hashes)
+        self.name = _mixed(hashes.astype("u8") << np.uint64(32) ^ self.counts.astype("u8"))
+        end = word[self.sizes[0] - 1]  # a document follows the end of another
+        self.prev = np.concatenate([[end], word[:-1]])
+        before = np.concatenate([[end], self.prev[:-1]])
+        before[self.starts] = end
+        self.one, self.two = bucket[self.prev], bucket[before]
+
+    def per_document(self, values):
+        return np.add.reduceat(values, self.starts)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers (numpy wraps the products)."""
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ x >> np.uint64(32)
 
 
 def pair_feature(one, two):
@@ -238,11 +262,11 @@ def feature_counts(found: DataFrame, lexicon: Lexicon) -> DataFrame:
         total = np.zeros(BUCKETS * BUCKETS * CLASSES)
         for batch in batches:
             for raw, ids in zip(batch.column("body"), batch.column("ids").to_pylist()):
-                sizes, _, word, counts, cls, one, two = _tokens(raw.as_py(), lexicon)
-                use = np.repeat(np.array([in_training(i) for i in ids], bool), sizes)
-                place = (one * BUCKETS + two) * CLASSES
-                rare = counts[word] == 1
-                for pick, where, weight in ((use & ~rare, cls[word], 1.0), (use & rare, cls[word], 1 - lexicon.unseen), (use & rare, np.zeros_like(word), lexicon.unseen)):
+                b = Block(raw.as_py(), lexicon)
+                use = np.repeat(np.array([in_training(i) for i in ids], bool), b.sizes)
+                place = (b.one * BUCKETS + b.two) * CLASSES
+                rare = b.counts[b.word] == 1
+                for pick, where, weight in ((use & ~rare, b.cls[b.word], 1.0), (use & rare, b.cls[b.word], 1 - lexicon.unseen), (use & rare, np.zeros_like(b.word), lexicon.unseen)):
                     if weight:
                         total += weight * np.bincount((place + where)[pick], minlength=len(total))
         body = total.reshape(BUCKETS, -1)
@@ -300,13 +324,128 @@ def train(cells: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
+# -- words in their class -------------------------------------------------------
+
+
+def pair_keys(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the tokens ``at``: what their pairs are dealt by, and their keys (word before and class, then word)."""
+    word = block.word[at]
+    group = _mixed(block.name[block.prev[at]] + block.cls[word].astype("u8"))
+    low = np.uint64((1 << WORD_BITS) - 1)
+    return (group >> np.uint64(32)).astype("u4"), (group & np.uint64(0xFFFFFFFF)) << np.uint64(WORD_BITS) | block.name[word] & low
+
+
+def _pack_keys(keys: np.ndarray) -> list[bytes]:
+    """Ascending keys, as steps."""
+    return _wide(np.diff(keys.astype("i8"), prepend=0))
+
+
+def _deal_pairs(found: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
+    """Each block's distinct pairs of words that share a class: key, the word's count and class, training count, and the documents they are in."""
+
+    def run(batches):
+        for batch in batches:
+            kind = batch.column("ids").type.value_type
+            for raw, number, ids in zip(batch.column("body"), batch.column("block").to_pylist(), batch.column("ids").to_pylist()):
+                b = Block(raw.as_py(), lexicon)
+                at = np.flatnonzero((b.cls > TOP)[b.word])
+                if not len(at):
+                    continue
+                part, key = pair_keys(b, at)
+                part %= n
+                order = np.argsort(key)
+                order = order[np.argsort(part[order].astype("u2" if n <= 1 << 16 else "u4"), kind="stable")]
+                part, key, at = part[order], key[order], at[order]
+                doc = np.repeat(np.arange(len(b.sizes)), b.sizes)[at]
+                used = np.array([in_training(i) for i in ids], "i8")[doc]
+                new = np.ones(len(at), bool)
+                new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(new)
+                times, trained = np.diff(first, append=len(at)), np.add.reduceat(used, first)
+                words = b.word[at[first]]
+                counts, cls = b.counts[words], b.cls[words]
+                cuts = np.flatnonzero(np.diff(part[first])) + 1
+                lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(first)]])
+                ends = np.append(first, len(at))
+                out = []
+                for x, y in zip(lo.tolist(), hi.tolist()):
+                    body = blocks.bundle(*_pack_keys(key[first[x:y]]), *_wide(counts[x:y]), *(blocks.pack(v) for v in (cls[x:y], trained[x:y], times[x:y], doc[ends[x] : ends[y]])))
+                    out.append((int(part[first[x]]), number, blocks.WORDS, 0, body, None))
+                for k in range(0, len(out), 64):
+                    yield blocks.rows(out[k : k + 64], kind)
+
+    kind = found.schema["ids"].dataType.elementType.simpleString()
+    return _rows_of(found, blocks.PLACES).mapInArrow(run, blocks.schema(kind)).repartitionById(n, "key")
+
+
+def fit_pairs(trained: np.ndarray, share: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural log of each pair's probability of its word in the class after the word before; pairs of a group follow each other.
+
+    ``trained``: the pair's training count, ``share``: the word's share of its class, ``first``: where groups start.
+    Gradient ascent on the penalised likelihood; a step is divided by a bound of the curvature.  Pairs that training
+    does not have keep the weight 0.
+    """
+    size, seen = np.diff(first, append=len(trained)), trained > 0
+    spread = lambda x: np.repeat(x, size)
+    total = spread(np.add.reduceat(trained, first))
+    rest = np.maximum(1 - np.add.reduceat(np.where(seen, share, 0.0), first), 1e-9)  # hashing may let shares exceed 1
+    weight = np.zeros(len(trained))
+
+    def normaliser():
+        return spread(rest + np.add.reduceat(np.where(seen, share * np.exp(weight), 0.0), first))
+
+    for _ in range(PAIR_ROUNDS):
+        expected = total * share * np.exp(weight) / normaliser()
+        weight += np.where(seen, np.clip((trained - expected - PRIOR * weight) / (expected + PRIOR), -STEP, STEP), 0.0)
+    return np.log(share) + weight - np.log(normaliser())
+
+
+def _fit_dealt(mass: np.ndarray):
+    """Fits all pairs of a task and answers each block with log10 sums by document."""
+
+    def run(batches):
+        held, kind = [], None
+        for batch in batches:
+            kind = batch.column("ids").type.value_type
+            for number, raw in zip(batch.column("block").to_pylist(), batch.column("body")):
+                low, high, *rest = blocks.unbundle(raw.as_py())
+                held.append((number, np.cumsum(_narrow(low, high)), _narrow(*rest[:2]), *(blocks.unpack(x) for x in rest[2:])))
+        if not held:
+            return
+        key, counts, cls, trained = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        first = np.flatnonzero(new)
+        pair = np.empty(len(key), "i8")
+        pair[order] = np.cumsum(new) - 1
+        lead = order[first]
+        group = key[lead] >> WORD_BITS
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        value = fit_pairs(np.add.reduceat(trained[order].astype("f8"), first), counts[lead] / mass[cls[lead]], starts)[pair] / np.log(10)
+        at = 0
+        for number, keys, _, _, _, times, doc in held:
+            sums = np.bincount(doc, np.repeat(value[at : at + len(keys)], times))
+            at += len(keys)
+            some = np.unique(doc)
+            body = blocks.bundle(blocks.pack(some), zstandard.compress(sums[some].tobytes()))
+            yield blocks.rows([(0, number, blocks.WORDS, 0, body, None)], kind)
+
+    return run
+
+
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every whole text.
+    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain`` of every whole text.
 
     Documents whose crc32 of the id as text leaves 1 modulo 5 are held out of training.  Scores are sums of log10
-    probabilities, the end included; the base is the add-half unigram model.  A NULL or empty text is the end alone;
-    a NULL id counts as the empty text; repeated rows train and score like any others; an empty frame gives no rows.
+    probabilities, the end included; the base is the add-half unigram model; ``gain`` is what the score has over it a
+    token.  A NULL or empty text is the end alone; a NULL id counts as the empty text; repeated rows train and score
+    like any others; a text over blocks.BLOCK_CHARS is a block of its own; other columns are ignored, and an id column
+    named like an output is refused; an empty frame gives no rows.
     """
+    names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "gain"]
+    if id_col.lower() in names:
+        raise ValueError(f"the id column is named like one of {names}")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -319,20 +458,36 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     model = train(feature_counts(found, lexicon))
     tokens, types = lexicon.tokens, lexicon.types
 
-    def score(batches):
-        log10 = np.log(10)
-        table = (model.log_probs(np.arange(BUCKETS)) / log10).reshape(-1, CLASSES).astype("float32")
+    def by_class(batches):
+        """Of each block: tokens, known ones, base score and class score by document."""
+        table = (model.log_probs(np.arange(BUCKETS)) / np.log(10)).reshape(-1, CLASSES).astype("float32")
+        for batch in batches:
+            for raw, number, ids in zip(batch.column("body"), batch.column("block").to_pylist(), batch.column("ids").to_pylist()):
+                b = Block(raw.as_py(), lexicon)
+                base = np.log10((b.counts + 0.5) / (tokens + 0.5 * (types + 1)))[b.word]
+                own = table[b.one * BUCKETS + b.two, b.cls[b.word]].astype("f8")
+                sums = [b.sizes, b.per_document((b.counts > 0)[b.word].astype("i8")), *(b.per_document(x).view("i8") for x in (base, own))]
+                yield blocks.rows([(0, number, blocks.PLACES, 0, np.concatenate(sums).tobytes(), ids)], batch.column("ids").type.value_type)
+
+    def total(batches):
+        block, answers = None, []
         for batch in batches:
-            for raw, ids in zip(batch.column("body"), batch.column("ids")):
-                sizes, starts, word, counts, cls, one, two = _tokens(raw.as_py(), lexicon)
-                with np.errstate(divide="ignore"):
-                    within = np.where(counts > 0, np.log10(np.maximum(counts, 1) / np.maximum(mass[cls], 1)), 0.0)
-                base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
-                by_token = table[one * BUCKETS + two, cls[word]].astype("f8") + within[word]
-                known = np.add.reduceat((counts > 0)[word].astype("i8"), starts)
+            for number, what, raw, ids in zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("body"), batch.column("ids")):
+                if number != block:
+                    block, answers = number, []
+                raw = raw.as_py()
+                if what == blocks.WORDS:
+                    answers.append(blocks.unbundle(raw))
+                    continue
+                sizes, known, base, score = np.frombuffer(raw, "i8").reshape(4, -1)
+                base, score = base.view("f8"), score.view("f8").copy()
+                for docs, sums in answers:
+                    score[blocks.unpack(docs)] += np.frombuffer(zstandard.decompress(sums))
                 mine = ids.values
                 held = [not in_training(i) for i in mine.to_pylist()]
-                yield pa.record_batch([mine, pa.array(held, pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(np.add.reduceat(base[word], starts)), pa.array(np.add.reduceat(by_token, starts))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.record_batch([mine, pa.array(held, pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score), pa.array((score - base) / sizes)], names=["id", *names])
 
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _rows_of(found, blocks.PLACES).select("body", "ids").mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    within = _deal_pairs(found, lexicon, n).mapInArrow(_fit_dealt(mass), blocks.schema(kind))
+    own = _rows_of(found, blocks.PLACES).mapInArrow(by_class, blocks.schema(kind))
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, gain double"
+    return blocks.gather(within.union(own), n).mapInArrow(total, schema).withColumnRenamed("id", id_col)

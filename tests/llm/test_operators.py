@@ -138,6 +138,130 @@ def test_lm(spark, edge, none, docs):
     assert lm.lm_scores(none).collect() == []
 
 
+def plain_lm(tokens):
+    """The whole model by loops over tokens: scores of {id: words}."""
+    training = {i: ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1}
+    count = Counter(w for ws in training.values() for w in ws)
+    crc = lambda w: zlib.crc32(w.encode())
+    top = sorted(count, key=lambda w: (-count[w], crc(w)))[: lm.TOP]
+
+    def cls(w):
+        if not count[w]:
+            return 0
+        return 1 + top.index(w) if w in top else 1 + lm.TOP + sum(count[w] >= x for x in (2, 3, 8, 64)) * lm.SHAPES + lm._shape(w.encode())
+
+    def bucket(w):
+        half = lm.BUCKETS // 2
+        return top.index(w) if count[w] and w in top[:half] else half + crc(w) % half
+
+    mass, contexts = Counter(), {}
+    for w, c in count.items():
+        mass[cls(w)] += c
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    unseen = once / (once + 2 * twice) if once else 0.0
+
+    def steps(ws):
+        for k, w in enumerate(ws):
+            yield (ws[k - 1] if k else "\n"), (ws[k - 2] if k > 1 else "\n"), w
+
+    pairs = {}
+    for ws in training.values():
+        for v, u, w in steps(ws):
+            cell = contexts.setdefault((bucket(v), bucket(u)), np.zeros(lm.CLASSES))
+            cell[cls(w)] += 1 - unseen * (count[w] == 1)
+            cell[0] += unseen * (count[w] == 1)
+            if cls(w) > lm.TOP:
+                pairs.setdefault((v, cls(w)), Counter())[w] += 1
+    def feats(a, b):
+        return a, b, (a * 131 + b * 31) % lm.PAIRS
+
+    def gather(of):
+        out = [{}, {}, {}]
+        for (a, b), cell in contexts.items():
+            for table, f in zip(out, feats(a, b)):
+                table[f] = table.get(f, 0) + of(a, b, cell)
+        return out
+
+    seen = gather(lambda a, b, cell: cell)
+    prior = sum(seen[0].values()) + 0.5
+    mean, weights = prior / prior.sum(), [{}, {}, {}]
+    bias = np.log(mean)
+    blank = np.log((20 * mean) / 20) - bias
+    for f, cell in seen[0].items():
+        weights[0][f] = np.log((cell + 20 * mean) / (cell.sum() + 20)) - bias
+
+    def log_p(a, b):
+        x = bias + weights[0].get(feats(a, b)[0], blank) + weights[1].get(feats(a, b)[1], 0) + weights[2].get(feats(a, b)[2], 0)
+        return x - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    for _ in range(lm.ROUNDS):
+        have = gather(lambda a, b, cell: np.exp(log_p(a, b)) * cell.sum())
+        for table, want, got in zip(weights, seen, have):
+            for f in want:
+                table[f] = table.get(f, 0) + 0.5 * (want[f] - got[f]) / (np.maximum(want[f], got[f]) + lm.EASE)
+    fitted = {}
+    for (v, c), ks in pairs.items():
+        share, t = {w: count[w] / mass[c] for w in ks}, dict.fromkeys(ks, 0.0)
+        norm = lambda: 1 - sum(share.values()) + sum(share[w] * math.exp(t[w]) for w in ks)
+        for _ in range(lm.PAIR_ROUNDS):
+            z = max(norm(), 1e-9)
+            for w, k in ks.items():
+                want = sum(ks.values()) * share[w] * math.exp(t[w]) / z
+                t[w] += max(-lm.STEP, min(lm.STEP, (k - want - lm.PRIOR * t[w]) / (want + lm.PRIOR)))
+        fitted[v, c] = t, norm()
+    out = {}
+    for i, ws in tokens.items():
+        total = 0.0
+        for v, u, w in steps(ws):
+            c = cls(w)
+            total += log_p(bucket(v), bucket(u))[c]
+            if c > lm.TOP:
+                t, z = fitted.get((v, c), ({}, 1.0))
+                total += math.log(count[w] / mass[c]) + t.get(w, 0.0) - math.log(z)
+        out[i] = total / math.log(10)
+    return out
+
+
+def test_lm_score_equals_plain_loops(spark, docs):
+    rows = [(i, " ".join((t or "").split()[:60])) for i, t in list(docs.items())[:24]] + [(500, None), (501, "never met words only"), (502, list(docs.values())[2])]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = plain_lm({i: [*WORD.findall((t or "").translate(LOW)), "\n"] for i, t in rows})
+    assert len(got) == len(want)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-4), r
+        assert math.isclose(r.gain, (r.score - r.base_score) / r.n_tokens)
+
+
+def test_lm_pairs_are_a_distribution():
+    rng = np.random.default_rng(3)
+    trained, first = rng.integers(0, 4, 60).astype("f8"), np.arange(0, 60, 6)
+    share = rng.random(60) / 8  # six words of a class that has others besides
+    p = np.exp(lm.fit_pairs(trained, share, first)).reshape(-1, 6)
+    none = lm.fit_pairs(np.zeros(60), share, first)
+    assert np.allclose(none, np.log(share))
+    for row, ks, bs in zip(p, trained.reshape(-1, 6), share.reshape(-1, 6)):
+        other = row[ks == 0] / bs[ks == 0]  # words without a weight keep their proportions
+        z = 1 / other[0] if len(other) else None
+        assert z is None or (np.allclose(other, other[0]) and math.isclose(row[ks > 0].sum() + (1 - bs[ks > 0].sum()) / z, 1, rel_tol=1e-9))
+        assert all(row[a] / bs[a] > row[b] / bs[b] for a in range(6) for b in range(6) if ks[a] > ks[b] + 1)
+
+
+def test_lm_beats_a_bigram_count_model_on_held_out_texts(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tokens = {r.doc_id: [*WORD.findall((r.text or "").translate(LOW)), "\n"] for r in frame.collect()}
+    training = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(w for ws in training for w in ws), Counter(p for ws in training for p in zip(["\n", *ws], ws))
+    got = [r for r in lm.lm_scores(frame).collect() if r.held_out]
+    n = sum(r.n_tokens for r in got)
+    bigram = 0.0
+    for r in got:
+        ws = tokens[r.doc_id]
+        bigram += sum(math.log10((two[p] + 0.5) / (one[p[0]] + 0.5 * (len(one) + 1))) for p in zip(["\n", *ws], ws))
+    mine, base = sum(r.score for r in got), sum(r.base_score for r in got)
+    print(f"held out, log10 a token: model {mine / n:.4f}, unigram {base / n:.4f}, bigram {bigram / n:.4f}")
+    assert mine > bigram and mine > base
+
+
 def test_lm_classes_are_a_distribution():
     model = lm.Model(np.zeros(lm.CLASSES))
     rng = np.random.default_rng(0)
