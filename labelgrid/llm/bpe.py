@@ -1,8 +1,9 @@
 """Byte-level BPE over the corpus: every distinct pre-token is encoded once per word bucket, wherever it occurs.
 
 Encoding: pre-tokens and their positions per block, distinct words to buckets,
-ids back to the blocks, texts reassembled by position.  Decoding: each id looks
-up its bytes in the vocabulary's table (a fixed size).
+ids back to the blocks, texts reassembled by position.  Decoding: ids join the
+token-byte table, which is broadcast (its size is the vocabulary's), and the
+bytes are gathered by id, a block at a time.
 """
 
 from __future__ import annotations
@@ -79,11 +80,15 @@ KNOWN = 500_000
 
 
 def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and the columns ``extra`` that ``on_doc(ids, bytes_of)`` makes of each document's ids.
+    """``id`` and the columns ``extra`` that ``on_doc(ids, decoded)`` makes of each document's ids and the bytes they stand for.
 
-    ``ids``: little-endian unsigned 32-bit numbers; ``bytes_of``: token bytes by id.  NULL and empty texts have no
-    ids; repeated rows and NULL document ids are kept as they are; an empty frame gives no rows.
+    ``ids``: unsigned 32-bit numbers.  NULL and empty texts have no ids; repeated rows and NULL document ids are kept as
+    they are; a text over blocks.BLOCK_CHARS is a block of its own; other columns are ignored, and an id column named
+    like one of ``extra`` is refused; an empty frame gives no rows.
     """
+    names = [f.split()[0] for f in extra.split(", ")]
+    if id_col.lower() in names:
+        raise ValueError(f"the id column is named like one of {names}")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -115,11 +120,9 @@ def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col:
             yield pa.record_batch(cols, names=batch.schema.names)
 
     gathered = blocks.gather(dealt.mapInArrow(encode, blocks.schema(kind)), n)
-    names = [f.split()[0] for f in extra.split(", ")]
 
     def assemble(batches):
-        enc = per_worker(f"bpe {path} {pattern}", lambda: _encoder(path, pattern))
-        table = per_worker(f"bytes {path}", lambda: {v: k for k, v in enc._mergeable_ranks.items()})
+        """One row per block: ids of documents, how many tokens each has, and all their ids."""
 
         def done(ids, sizes, codes, n_words, answers):
             size, flat, start, at = np.zeros(n_words, "i8"), [], np.zeros(n_words, "i8"), 0
@@ -130,24 +133,43 @@ def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col:
                 flat.append(f)
             flat = np.concatenate(flat) if flat else np.empty(0, "u4")
             words = blocks.resolve(codes, n_words)
-            out, stops = [], np.cumsum(sizes).tolist()
-            for a, b in zip([0, *stops], stops):
-                w = words[a:b]
-                s = size[w]
-                total = int(s.sum())
-                pick = np.repeat(start[w] - (np.cumsum(s) - s), s) + np.arange(total)
-                out.append(on_doc(flat[pick], table))
-            cols = list(zip(*out)) or [[] for _ in names]
-            yield pa.record_batch([ids, *[pa.array(c) for c in cols]], names=["id", *names])
+            s = size[words]
+            pick = np.repeat(start[words] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+            stops = np.concatenate([[0], np.cumsum(s)])[np.cumsum(sizes)]
+            row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.record_batch([row, pa.array([stops.tobytes()], pa.binary()), pa.array([flat[pick].astype("<u4").tobytes()], pa.binary())], names=["ids", "stops", "tokens"])
 
         yield from blocks.per_block(batches, done)
 
-    return gathered.mapInArrow(assemble, f"id {kind}, {extra}").withColumnRenamed("id", id_col)
+    def finish(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                stops = np.frombuffer(batch.column("stops")[k].as_py(), "i8").tolist()
+                tokens = np.frombuffer(batch.column("tokens")[k].as_py(), "<u4")
+                table = batch.column(TABLE)[k].values.cast(pa.large_binary())
+                text = table.take(pa.array(tokens))
+                at, raw = np.frombuffer(text.buffers()[1], "i8") if len(text) else [0], text.buffers()[2]
+                out = [on_doc(tokens[a:b], raw[int(at[a]) : int(at[b])].to_pybytes() if b > a else b"") for a, b in zip([0, *stops], stops)]
+                cols = list(zip(*out)) or [[] for _ in names]
+                yield pa.record_batch([batch.column("ids").slice(k, 1).flatten(), *[pa.array(c) for c in cols]], names=["id", *names])
+
+    whole = gathered.mapInArrow(assemble, f"ids array<{kind}>, stops binary, tokens binary")
+    joined = whole.crossJoin(F.broadcast(token_bytes(df.sparkSession, path)))  # one row, of the vocabulary's size
+    return joined.mapInArrow(finish, f"id {kind}, {extra}").withColumnRenamed("id", id_col)
+
+
+#: Name of the column with the bytes of all tokens.
+TABLE = "_labelgrid_token_bytes"
+
+
+def token_bytes(spark, path: str) -> DataFrame:
+    """The token-byte table as one row: the bytes of each id, in order; NULL for an id that is not used."""
+    known = {v: k for k, v in ranks(path).items()}
+    return spark.createDataFrame([([bytearray(known[i]) if i in known else None for i in range(max(known) + 1)],)], f"{TABLE} array<binary>")
 
 
-def digest(ids: np.ndarray, table: dict[int, bytes]) -> tuple:
+def digest(ids: np.ndarray, text: bytes) -> tuple:
     """``n_tokens, ids_sha256, decoded_sha256``: the last of the bytes that the ids stand for."""
-    text = b"".join(map(table.__getitem__, ids.tolist()))
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
@@ -155,12 +177,11 @@ DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def decoded(df: DataFrame, path: str, ids_col: str, out_col: str = "text") -> DataFrame:
-    """``df`` and the bytes of an array of ids, by a join with the token-byte table (its size is the vocabulary's).
+    """``df`` and the bytes of an array of ids (a column of that name is replaced), by a join with the token-byte table.
 
-    NULL ids give NULL; an empty array gives empty bytes; an id outside of the vocabulary is an error.
+    NULL ids give NULL; an empty array gives empty bytes; an id outside of the vocabulary is an error.  Bytes are put
+    together as one string of hex digits, in time linear in the tokens.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame([([bytearray(k) for k, _ in sorted(ranks(path).items(), key=lambda x: x[1])],)], "b array<binary>")
-    joined = df.crossJoin(F.broadcast(table))  # one row, of the vocabulary's size
-    text = F.aggregate(F.transform(ids_col, lambda i: F.element_at("b", i + 1)), F.lit(b""), lambda a, b: F.concat(a, b))
-    return joined.withColumn(out_col, text).drop("b")
+    joined = df.crossJoin(F.broadcast(token_bytes(df.sparkSession, path)))  # one row, of the vocabulary's size
+    hexed = F.transform(ids_col, lambda i: F.coalesce(F.hex(F.element_at(TABLE, i + 1)), F.raise_error(F.lit("no such id"))))
+    return joined.withColumn(out_col, F.unhex(F.array_join(hexed, ""))).drop(TABLE)

@@ -282,6 +282,12 @@ def test_bpe_round_trip(spark, edge, none):
     assert bpe.encoded(none, RANKS, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST).collect() == []
     rows = spark.createDataFrame([(1, enc.encode_ordinary("naïve 中 text")), (2, []), (3, None)], "n int, ids array<int>")
     assert [bytes(r.text).decode() if r.text is not None else None for r in bpe.decoded(rows, RANKS, "ids").orderBy("n").collect()] == ["naïve 中 text", "", None]
+    named = bpe.decoded(rows.withColumnRenamed("n", "b"), RANKS, "ids")
+    assert named.columns == ["b", "ids", "text"] and named.count() == 3
+    with pytest.raises(Exception, match="no such id|out of bounds|INVALID_ARRAY_INDEX"):
+        bpe.decoded(rows.limit(1).withColumn("ids", F.array(F.lit(10**8))), RANKS, "ids").collect()
+    with pytest.raises(ValueError):
+        bpe.encoded(edge.withColumnRenamed("key", "n_tokens"), RANKS, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST, id_col="n_tokens")
 
 
 def test_splitter_equals_the_library():
