@@ -14,7 +14,7 @@ import numpy as np
 LENGTH, SEED = 100, 24
 SEEDS = LENGTH - SEED + 1  # in a window
 PLACE_BITS = 28
-#: Bytes handled at once (a longer text alone).
+#: Bytes handled at once; a longer text is cut, so that places in a chunk fit PLACE_BITS.
 CHUNK = 4 << 20
 
 # Odd 64-bit multipliers.
@@ -115,6 +115,11 @@ def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Blocks | None
     return raw, starts, Blocks(h[anchor].view("i8"), body.view("i8"), first, windows, anchor, text)
 
 
+def pieces(text: bytes) -> list[tuple[int, bytes]]:
+    """Parts of a text with their starts: each window of LENGTH bytes lies in just one, and CHUNK windows in each but the last."""
+    return [(a, text[a : a + CHUNK + LENGTH - 1]) for a in range(0, max(1, len(text) - LENGTH + 1), CHUNK)]
+
+
 def chunks(texts: list[bytes]):
     """Ranges of texts of about CHUNK bytes."""
     a = size = 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm.common import texts
-from labelgrid.plans.materialize import materialize
+from labelgrid.plans.materialize import discard, materialize
 
 RADIUS = 2
 SEED = 42
@@ -217,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.where("a <> b").distinct(), "stars")
+        edges, old = materialize(small.where("a <> b").distinct(), "stars"), edges
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -316,8 +317,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, fp long, more long, sketch array<long>")
     docs = materialize(docs, "sketched")
-    # Repeats of words count in a fingerprint, not in the set: one set may have several, and any of them will do.
-    nodes = materialize(docs.groupBy("node").agg(F.min("id").alias("first"), F.any_value(F.struct("fp", "more", "sketch")).alias("s")).select("node", "first", "s.fp", "s.more", "s.sketch"), "nodes")
+    # Repeats of words count in a fingerprint, not in the set: one set may have several, and the least stands for all.
+    nodes = materialize(docs.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("fp", "more", "sketch")).alias("s")).select("node", "first", "s.fp", "s.more", "s.sketch"), "nodes")
 
     def deal(batches):
         masks = [_table_bits(n) for n in range(TABLES)]

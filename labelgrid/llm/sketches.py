@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 128
 WORDS = 5
+HASHES = "_labelgrid_hashes"
 
 
 def word_hashes(text: Column) -> Column:
@@ -45,9 +47,9 @@ def bottom_k(hashes: Column, k: int = K) -> Column:
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
-    """Adds ``out``: the sketch of a text (NULL: empty).  Stages are separate projections, so nothing is computed twice."""
-    staged = df.withColumn("_h", word_hashes(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_h", shingle_hashes(F.col("_h")))
-    return staged.withColumn(out, bottom_k(F.col("_h"), k)).drop("_h")
+    """Adds ``out`` (a column of that name is replaced): the sketch of a text (NULL: empty).  Stages are separate projections, so nothing is computed twice."""
+    staged = df.withColumn(HASHES, word_hashes(F.coalesce(F.col(text_col), F.lit("")))).withColumn(HASHES, shingle_hashes(F.col(HASHES)))
+    return staged.withColumn(out, bottom_k(F.col(HASHES), k)).drop(HASHES)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -132,8 +134,12 @@ def edited_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The edited text has its last quarter (floor, in code points) replaced by as many first code points of the
     next document, or all it has.  Order is by id, then text; NULL ids first; after the last comes the first.
-    NULL texts are empty; a lone document is its own next; repeated rows stay; other columns are ignored.
+    NULL texts are empty; a lone document is its own next; repeated rows stay; other columns are ignored; an empty frame
+    gives no rows.  Texts are held whole, two at a time.  Ids are numbers, and an id column named like an output is refused.
     """
+    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles"]
+    if id_col.lower() in names or not isinstance(df.schema[id_col].dataType, T.NumericType):
+        raise ValueError(f"ids must be numbers, in a column named otherwise than {names}")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     both, order = with_next(docs, "id", "t")
     rows = with_sketch(both.withColumn("next_t", F.lead("t").over(order)), "t", "a")

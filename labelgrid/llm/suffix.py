@@ -65,15 +65,17 @@ def _find_blocks(batches):
 
     for batch in batches:
         docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        cut = [(k, *piece) for k, t in enumerate(batch.column("text").to_pylist()) for piece in anchors.pieces((t or "").encode())]
+        row, skipped, raw = zip(*cut) if cut else ((), (), ())
+        row, skipped = np.array(row, "i8"), np.array(skipped, "i8")
         for a, b in anchors.chunks(raw):
             _, starts, found = anchors.blocks_of(raw[a:b])
             if found is None:
                 continue
-            text = found.text
-            place = found.anchor - starts[text]
+            place = found.anchor - starts[found.text] + skipped[a:b][found.text]
+            text = row[a:b][found.text]
             pos = place << 16 | (found.anchor - found.first) << 8 | found.windows
-            held.append((found.seed, found.body, docs[a:b][text], ties[a:b][text], pos))
+            held.append((found.seed, found.body, docs[text], ties[text], pos))
             size += len(text)
             if size >= FLUSH:
                 yield from flush()
@@ -249,8 +251,8 @@ def remove_repeats(df: DataFrame, on_doc, extra: str, id_col: str = "doc_id", te
 
     ``spans`` are the maximal runs of bytes to remove, as rows of (start, end): all bytes of a 100-byte string
     that also starts earlier, in a smaller id or before it in the same text, judged on the input.  Ids are whole
-    numbers.  A NULL text is empty and stays as it is; rows equal in id and text are one document; an empty frame
-    gives no rows.
+    numbers.  A NULL text is empty and stays as it is; rows equal in id and text are one document; texts of any length
+    are cut into overlapping pieces; columns not in ``keep`` are ignored; an empty frame gives no rows.
     """
     keep = keep or [id_col]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
