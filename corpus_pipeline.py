@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept.  All but the last return the columns of documents; where a stage shortens
 a text it also sets ``n_chars``.
+
+In every stage a NULL text is an empty one that stays NULL, rows equal in id and
+text are one document, NULL ids come first among ids unless a stage says
+otherwise, texts may be of any length, extra columns pass unchanged but for the
+last stage, which ignores them, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.llm import lines, packing, queries, simhash, suffix, toxicity
 from labelgrid.llm.common import row_key, table
-from labelgrid.plans.materialize import materialize
+from labelgrid.plans.materialize import discard, materialize, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+    """All stages over documents.  What a stage wrote for its own use, and its input, go once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch() as kept:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,12 +20,13 @@ from labelgrid.status import EINVAL, SUCCESS, Status, report
 class LabeledArray:
     """Immutable; every method returns a new array that shares the plan."""
 
-    def __init__(self, meta: ArrayMeta | None, cells: DataFrame | None = None, *, frame: DataFrame | None = None, value: str = "value", chunks: DataFrame | None = None):
-        """``frame``/``value``: a frame shared by several variables and this one's column in it."""
+    def __init__(self, meta: ArrayMeta | None, cells: DataFrame | None = None, *, frame: DataFrame | None = None, value: str = "value", chunks: DataFrame | None = None, source=None):
+        """``frame``/``value``: a frame shared by several variables and this one's column in it; ``source``: the TableGrid it is of."""
         self._meta = meta or ArrayMeta()
         self._frame = frame if frame is not None else cells
         self._value = value
         self._chunks = chunks
+        self._source = source
         self._ok = meta is not None and (self._frame is not None or chunks is not None)
 
     @classmethod

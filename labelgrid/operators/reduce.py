@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelgrid.array import LabeledArray
@@ -13,8 +14,8 @@ def mean(array: LabeledArray, dim: str, stat: Status | None = None, *, ordered:
     """Mean along ``dim``; the other dimensions keep their order, coordinates and the attributes.
 
     The default merges partial sums in any order.  ``ordered`` adds along the
-    ascending index, which gives the same bits on every run; it holds one fibre
-    of the dimension in memory at a time.  A reduced extent of 0 is EINVAL; other
+    ascending index, which gives the same bits on every run: a running sum over
+    the sorted fibre, which spills.  A reduced extent of 0 is EINVAL; other
     empty arrays stay empty and valid.
     """
     axis = array.dim_index(dim)
@@ -31,13 +32,12 @@ def mean(array: LabeledArray, dim: str, stat: Status | None = None, *, ordered:
     if array.chunks is not None and axis == 1:  # the whole fibre is in the row: no shuffle at all
         total = F.aggregate("chunk", F.lit(0.0), lambda a, b: a + b)
         rows = array.chunks.select(*kept, (total / F.lit(float(extent))).alias("value"))
+    elif ordered:
+        along = Window.partitionBy(*kept).orderBy(cols[axis - 1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = array.cells.withColumn("value", F.sum("value").over(along))
+        rows = running.where(F.col(cols[axis - 1]) == extent).select(*kept, (F.col("value") / F.lit(float(extent))).alias("value"))
     else:
-        if ordered:
-            fibre = F.array_sort(F.collect_list(F.struct(cols[axis - 1], "value")))
-            value = F.aggregate(fibre, F.lit(0.0), lambda a, b: a + b["value"]) / F.lit(float(extent))
-        else:
-            value = F.avg("value")
-        rows = (array.cells.groupBy(*kept) if kept else array.cells).agg(value.alias("value"))
+        rows = (array.cells.groupBy(*kept) if kept else array.cells).agg(F.avg("value").alias("value"))
     return LabeledArray(meta, rows.toDF(*columns(meta.rank), "value"))
 
 

@@ -2,7 +2,8 @@
 
 ``sel`` first resolves its label to an index with one small aggregate over the
 coordinate.  The selection is then a literal predicate, which reaches the scan
-as a pushed filter; a lazy join with the coordinate would not.
+as a pushed filter; a lazy join with the coordinate would not.  An array of a
+table turns it into a filter on the table's key, below the aggregate.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ def isel(array: LabeledArray, dim: str, index: int, stat: Status | None = None)
     report(stat, SUCCESS)
     cols = columns(array.meta.rank)
     meta = array.meta.without(axis)
+    grid = array._source.pick(axis, index) if array._source else None
+    if grid:
+        return LabeledArray(meta, frame=grid.frame, value=array._value, source=grid)
     if array.chunks is not None and axis > 1:
         kept = [c for k, c in enumerate(cols, 1) if k not in (1, axis)]
         rows = array.chunks.where(F.col(cols[axis - 1]) == index).select(*kept, "chunk")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,39 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/labelgrid/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch():
+    """Removes on leaving what ``materialize`` wrote inside, but for the frames put into the list that this gives."""
+    written, kept = [], []
+    _open.append(written)
+    try:
+        yield kept
+    finally:
+        _open.remove(written)
+        left = {_root(f) for df in kept for f in df.inputFiles()}
+        for df in written:
+            if not {_root(f) for f in df.inputFiles()} & left:
+                discard(df)
+
+
+_open: list[list[DataFrame]] = []
+
+
+def _root(file: str) -> str:
+    return file.rsplit("/", 1)[0]
 
 
 def discard(df: DataFrame) -> None:
     """Remove what ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    roots = {_root(f) for f in df.inputFiles()}
     for root in roots:
         if "/labelgrid/" in root:
             path = jvm.org.apache.hadoop.fs.Path(root)

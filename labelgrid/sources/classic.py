@@ -116,23 +116,30 @@ def read_header(stream) -> Header:
     return Header({n: records if not k else k for n, k in zip(names, lengths)}, variables, records, sum(sizes))
 
 
-def read_slab(stream, header: Header, name: str, first: int, count: int) -> np.ndarray:
-    """Items ``first .. first+count`` along the slowest dimension, flat, as float64."""
+def read_cells(stream, header: Header, name: str, first: int, count: int) -> np.ndarray:
+    """Cells ``first .. first+count`` in file order (the slowest dimension first), as float64."""
     v = header.variables[name]
-    inner = int(np.prod(v.shape[1:], dtype="int64"))
-    if not v.shape:
-        stream.seek(v.begin)
-        return np.frombuffer(_Reader(stream).take(v.dtype.itemsize), v.dtype).astype("f8")
+    size = v.dtype.itemsize
     if not v.record:
-        stream.seek(v.begin + first * inner * v.dtype.itemsize)
-        return np.frombuffer(_Reader(stream).take(count * inner * v.dtype.itemsize), v.dtype).astype("f8")
-    parts = []
-    for k in range(first, first + count):
-        stream.seek(v.begin + k * header.stride)
-        parts.append(np.frombuffer(_Reader(stream).take(inner * v.dtype.itemsize), v.dtype).astype("f8"))
+        stream.seek(v.begin + first * size)
+        return np.frombuffer(_Reader(stream).take(count * size), v.dtype).astype("f8")
+    inner, parts = int(np.prod(v.shape[1:], dtype="int64")), []
+    while count:
+        record, skip = divmod(first, inner)
+        n = min(count, inner - skip)
+        stream.seek(v.begin + record * header.stride + skip * size)
+        parts.append(np.frombuffer(_Reader(stream).take(n * size), v.dtype).astype("f8"))
+        first, count = first + n, count - n
     return np.concatenate(parts) if parts else np.empty(0)
 
 
+def end_of(header: Header, name: str) -> int:
+    """Where a variable's data end in the file."""
+    v = header.variables[name]
+    cells = int(np.prod(v.shape[1:] if v.record else v.shape, dtype="int64")) * v.dtype.itemsize
+    return v.begin + (max(0, v.shape[0] - 1) * header.stride + (cells if v.shape[0] else 0) if v.record else cells)
+
+
 def _name(text: str) -> bytes:
     raw = text.encode("utf-8")
     return struct.pack(">I", len(raw)) + raw + b"\0" * (-len(raw) % 4)
