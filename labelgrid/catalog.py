@@ -560,3 +560,115 @@ def store_roundtrip(spark, sf_dir):
     path = f"{shared_dir(spark)}/labelgrid/store-{uuid.uuid4().hex}"
     write_store(path, quantity(spark, sf_dir).set_attr("units", "pieces"), partition_by="year")
     return read_store(spark, path).isel("year", 2).to_table()
+
+
+# -- edge cases ---------------------------------------------------------------
+
+NAN = float("nan")
+
+
+def _marks(spark, coord) -> LabeledArray:
+    """Values 1, 2, .. along x with the given coordinate."""
+    return data_array(spark, [float(k) for k in range(1, len(coord) + 1)], ["x"]).set_coord("x", coord)
+
+
+@query("SELECT CAST(1 AS DOUBLE) AS value")
+def edge_nearest_to_nan(spark, sf_dir):
+    """A NaN label is nearest to the first index."""
+    return _marks(spark, [5.0, 2.0, 9.0]).sel("x", NAN, "nearest").to_table()
+
+
+@query(status_sql(2, 2, 2))
+def edge_no_match_status(spark, sf_dir):
+    """Nothing is found: nearest on an empty coordinate, exact NaN, exact on an empty coordinate."""
+    found = [Status(), Status(), Status()]
+    empty = data_array(spark, [], ["x"]).set_coord("x", [])
+    sel(empty, "x", 1.0, "nearest", found[0])
+    sel(_marks(spark, [1.0, NAN]), "x", NAN, None, found[1])
+    sel(empty, "x", 1.0, None, found[2])
+    return status_row(spark, *[s.code for s in found])
+
+
+@query("SELECT CAST(2 AS DOUBLE) AS value")
+def edge_nearest_passes_over_nan(spark, sf_dir):
+    return _marks(spark, [NAN, 4.0, NAN]).sel("x", -100.0, "nearest").to_table()
+
+
+@query("SELECT CAST(2 AS DOUBLE) AS value")
+def edge_duplicate_coordinate(spark, sf_dir):
+    """The first of equal coordinates, exactly and nearest (a mean of both picks)."""
+    marks = _marks(spark, [3.0, 7.0, 7.0, 1.0])
+    return ((marks.sel("x", 7.0) + marks.sel("x", 6.9, "nearest")).cells.select((F.col("value") / 2).alias("value")))
+
+
+@query("SELECT CAST(i AS INTEGER) AS x, CAST(2 * i AS DOUBLE) AS value FROM range(1, 4) t(i)")
+def edge_add_ignores_coordinates(spark, sf_dir):
+    out = _marks(spark, [1.0, 2.0, 3.0]) + _marks(spark, [30.0, 20.0, 10.0])
+    return out.to_table().where(F.lit(not out.coords))
+
+
+@query(status_sql(0, 1, 0, 1, 0, 1, 1))
+def edge_zero_extents(spark, sf_dir):
+    """Empty arrays are valid and stay so; only a reduced extent of 0 is an error: sizes, validity and that status."""
+    import numpy as np
+
+    wide = data_array(spark, np.zeros((0, 3)), ["a", "b"], "wide")
+    stat = Status()
+    mean(wide, "a", stat)
+    other, both = wide.mean("b"), wide + wide
+    return status_row(spark, wide.size(), wide.valid(deep=True), other.size(), other.valid(), both.size(), both.valid(), stat.code)
+
+
+@query("SELECT CAST(i AS INTEGER) AS radius, CAST(i - 0.5 AS DOUBLE) / 2 AS value, CAST(i - 0.5 AS DOUBLE) / 2 AS coord FROM range(1, 3) t(i)")
+def edge_read_coordinate_variable(spark, sf_dir):
+    """A coordinate variable read for itself is its own coordinate."""
+    got = read_netcdf(spark, _fixture_file(spark), "radius", Status(strict=True))
+    coord = got.coords["radius"].withColumnRenamed("idx", "radius")
+    return got.to_table().join(coord, "radius")
+
+
+@query("SELECT CAST(1 AS INTEGER) AS status, CAST(3 AS BIGINT) AS bytes")
+def edge_write_refused_keeps_file(spark, sf_dir):
+    """An array named like its own coordinate is refused, and the file that was there stays."""
+    path = f"{shared_dir(spark)}/labelgrid/kept-{uuid.uuid4().hex}.nc"
+    fs, name = netcdf.locate(path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(name) as f:
+        f.write(b"old")
+    stat = Status()
+    write_netcdf(path, data_array(spark, [1.0, 2.0], ["x"], "x").set_coord("x", [0.0, 1.0]), stat)
+    return spark.createDataFrame([(stat.code, fs.get_file_info(name).size)], "status int, bytes bigint")
+
+
+@query(status_sql(0, 0, 2, 0, 1))
+def edge_write_empty_slowest(spark, sf_dir):
+    """The slowest dimension may be empty: codes of writing and reading, both extents, and whether it is valid."""
+    import numpy as np
+
+    path = f"{shared_dir(spark)}/labelgrid/empty-{uuid.uuid4().hex}.nc"
+    fs, name = netcdf.locate(path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    wrote, read = Status(), Status()
+    write_netcdf(path, data_array(spark, np.zeros((2, 0)), ["a", "b"], "none"), wrote)
+    got = read_netcdf(spark, path, "none", read)
+    return status_row(spark, wrote.code, read.code, *got.shape, got.valid(deep=True))
+
+
+@query("SELECT 'v' AS name, 'y,x' AS dims, 'y' AS coords, '' AS attrs")
+def edge_wide_variable_is_no_coordinate(spark, sf_dir):
+    """A variable called like a dimension is its coordinate only if it has that one dimension."""
+    import struct
+
+    import numpy as np
+
+    text = lambda t: struct.pack(">I", len(t)) + t.encode().ljust(-(-len(t) // 4) * 4, b"\0")
+    var = lambda t, ids, at: text(t) + struct.pack(f">I{len(ids)}I", len(ids), *ids) + struct.pack(">IIIII", 0, 0, 6, 8 * 2 ** len(ids), at)
+    head = b"CDF\1" + struct.pack(">III", 0, 10, 2) + text("x") + struct.pack(">I", 2) + text("y") + struct.pack(">I", 2) + struct.pack(">IIII", 0, 0, 11, 3)
+    size = len(head) + sum(len(var(t, ids, 0)) for t, ids in (("x", [0, 1]), ("y", [1]), ("v", [0, 1])))
+    head += var("x", [0, 1], size) + var("y", [1], size + 32) + var("v", [0, 1], size + 48)
+    path = f"{shared_dir(spark)}/labelgrid/wide-{uuid.uuid4().hex}.nc"
+    fs, name = netcdf.locate(path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(name) as f:
+        f.write(head + np.arange(10, dtype=">f8").tobytes())
+    return _described(spark, read_netcdf(spark, path, "v", Status(strict=True)))
