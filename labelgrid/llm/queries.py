@@ -46,7 +46,7 @@ def op4_suffix_dedup(spark, sf_dir):
 
 def op5_line_templates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_recurring_lines(docs)
+    out = drop_recurring_lines(docs, shortest=1)
     return out.select("doc_id", F.col("lines_total").cast("long").alias("n_lines"), F.col("lines_dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
@@ -87,7 +87,7 @@ m AS (
     '(^| )[^ 0-9]*[0-9][^ ]*', '\\1<*>', 'g') AS m FROM l),
 k AS (
   SELECT doc_id, pos, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n,
-    concat(len(string_split(m, ' ')), ' ', array_to_string(string_split(m, ' ')[1:LEADING], ' ')) AS leaf FROM m WHERE len(string_split(m, ' ')) >= LEADING),
+    concat(len(string_split(m, ' ')), ' ', array_to_string(string_split(m, ' ')[1:LEADING], ' ')) AS leaf FROM m WHERE m <> ''),
 hot AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= MIN_DOCS),
 h AS (SELECT k.* FROM k SEMI JOIN hot USING (leaf)),
 w AS (SELECT leaf, doc_id, pos, n, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM h),
@@ -95,8 +95,14 @@ best AS (SELECT leaf, i, max(struct_pack(c := c, t := t)).t AS t FROM (SELECT le
 member AS (
   SELECT w.leaf, w.doc_id, w.pos FROM w JOIN best ON w.leaf = best.leaf AND w.i = best.i
   GROUP BY w.leaf, w.doc_id, w.pos, w.n HAVING count(*) FILTER (w.t = best.t) >= w.n * AGREE::DOUBLE),
-spread AS (SELECT leaf, min(struct_pack(d := doc_id, p := pos)) AS f FROM member GROUP BY leaf HAVING count(DISTINCT doc_id) >= MIN_DOCS),
-gone AS (SELECT DISTINCT member.doc_id, member.pos FROM member JOIN spread USING (leaf) WHERE NOT (member.doc_id = f.d AND member.pos = f.p)),
+other AS (SELECT w.* FROM w ANTI JOIN member ON w.leaf = member.leaf AND w.doc_id = member.doc_id AND w.pos = member.pos),
+common AS (SELECT leaf, i, t FROM other GROUP BY ALL HAVING count(*) >= MIN_DOCS),
+own AS (
+  SELECT o.leaf, o.doc_id, o.pos, string_agg(coalesce(c.t, '<*>'), ' ' ORDER BY o.i) AS template FROM other o LEFT JOIN common c ON o.leaf = c.leaf AND o.i = c.i AND o.t = c.t
+  GROUP BY o.leaf, o.doc_id, o.pos, o.n HAVING count(c.t) >= o.n * AGREE::DOUBLE),
+placed AS (SELECT leaf, '' AS template, doc_id, pos FROM member UNION ALL SELECT leaf, template, doc_id, pos FROM own),
+spread AS (SELECT leaf, template, min(struct_pack(d := doc_id, p := pos)) AS f FROM placed GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= MIN_DOCS),
+gone AS (SELECT DISTINCT p.doc_id, p.pos FROM placed p JOIN spread s ON p.leaf = s.leaf AND p.template = s.template WHERE NOT (p.doc_id = f.d AND p.pos = f.p)),
 rest AS (
   SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS body
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)

@@ -370,6 +370,25 @@ def test_lines(spark, edge, none):
     assert lines.drop_recurring_lines(none).collect() == []
 
 
+def test_a_leaf_has_many_templates(spark):
+    rows = [(k, f"please see our privacy policy page today\nown {'abcdefghijklmnopqrst'[k]}") for k in range(20)]
+    rows += [(100 + k, f"please see our returned goods form instead\nown {'abcdefghijklmnopqrst'[k]}") for k in range(12)]
+    rows += [(200 + k, f"please see our {'abcdef'[k]}x {'ghijkl'[k]}y {'mnopqr'[k]}z now") for k in range(6)]  # too little in common
+    rows += [(300 + k, f"please see our helpful {'abcdefgh'[k]}desk staff soon") for k in range(8)]  # a variable field
+    got = {r.doc_id: r.lines_dropped for r in lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i < 200 and i % 100 > 0 or i > 300) for i, _ in rows}
+
+
+def test_lines_of_long_texts(spark):
+    rows = [(k, "\n".join(f"{'boiler plate line' if j % 2 else f'w{chr(97 + k)} own{j}x {j}'}" for j in range(4000))) for k in range(6)]
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        want = [x for n, x in enumerate(t.split("\n")) if x != "boiler plate line" or (k == 0 and n == 1)]
+        kept = [x for x in got[k].text.split("\n")]
+        assert [x for x in kept if x == "boiler plate line"] == ["boiler plate line"] * (k == 0) and got[k].lines_total == 4000
+        assert got[k].lines_dropped == 4000 - len(kept) and set(kept) <= set(want)
+
+
 def fingerprint(text):
     words = WORD.findall((text or "").translate(LOW))
     runs = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
