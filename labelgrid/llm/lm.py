@@ -304,7 +304,8 @@ def _sums(cells: DataFrame, of) -> list[np.ndarray]:
             yield pa.record_batch([pa.array([zstandard.compress(np.concatenate(sums).tobytes())], pa.binary())], names=["body"])
 
     out = np.zeros((2 * BUCKETS + PAIRS, CLASSES))
-    for r in cells.coalesce(6).mapInArrow(run, "body binary").collect():  # one table of fixed size per task
+    # The table has a fixed size, and so has the work of a round: six tasks at any corpus size, each sending one table of sums.
+    for r in cells.coalesce(6).mapInArrow(run, "body binary").collect():
         out += np.frombuffer(zstandard.decompress(r.body)).reshape(out.shape)
     return np.split(out, [BUCKETS, 2 * BUCKETS])
 

@@ -15,8 +15,8 @@ from labelgrid.llm.simhash import near_duplicates
 from labelgrid.llm.sketches import edited_documents
 from labelgrid.llm.toxicity import CATEGORIES, THRESHOLD, chain_labels, score, train
 
-#: Bytes of text in a shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of text in a shard: so few that even the smallest tables split.
+SHARD_BYTES = 1 << 20
 
 
 def word_bpe() -> str:

@@ -3,8 +3,9 @@
 Only suffixes that can tie to 100 bytes are sorted.  Content-defined anchors
 (see ``anchors``) give each window of 100 bytes one seed; windows of different
 seeds differ, so a seed and a distance to it make one suffix bucket.  Blocks
-whose seed occurs once need nothing more; equal blocks are settled by their
-hash; the bytes of all others are fetched and their suffixes sorted, a few
+whose seed occurs once need nothing more; equal blocks are settled by 128 bits of
+hashes, of the seed and of the whole block, without a look at the bytes; the bytes
+of all others are fetched and their suffixes sorted, a few
 buckets at a time: by the first V bytes, long ties by precomputed ranks of a
 sample of places V apart, then the last V bytes.  Since all members of a bucket
 stand at one distance from their anchor, sample places counted from the anchor

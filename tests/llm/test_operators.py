@@ -808,3 +808,76 @@ def test_pipeline_drops_short_recurring_lines(spark):
     for k in range(1, 8):
         left = got[k].split("\n")
         assert "Read more" not in left and "Subscribe" not in left and left[-2:] == ["", "ijklmnop"[k]]
+
+
+def test_near_copies_against_brute_force(spark):
+    """Exact likeness of all pairs of sf0.01: pairs of 0.8 and more share a group, and a group hangs together by such pairs or nearly."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, where = {i: frozenset(simhash.shingles(t or "", 5).tolist()) for i, t in rows}, {}
+    for i, s in sets.items():
+        for h in s:
+            where.setdefault(h, []).append(i)
+    common = Counter((a, b) for ids in where.values() if len(ids) > 1 for k, a in enumerate(ids) for b in ids[:k])
+    near = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in common.items()}
+    want = [p for p, j in near.items() if j >= 0.8]
+    found = sum(got[a] == got[b] for a, b in want)
+    print(f"near copies: {found} of {len(want)} pairs")
+    assert len(want) > 20 and found >= 0.9 * len(want)
+    loose = {i: i for i in sets}
+
+    def root(i):
+        while loose[i] != i:
+            i = loose[i]
+        return i
+
+    for (a, b), j in near.items():
+        if j >= 0.68:  # four standard errors of a sketch below
+            loose[root(a)] = root(b)
+    blank = [i for i, s in sets.items() if not s]
+    assert all(root(i) == root(g) or (i in blank and g in blank) for i, g in got.items())
+
+
+def plain_packing(rows):
+    from tokenizers import Tokenizer
+
+    whole, out = Tokenizer.from_file(queries.word_bpe()), Counter()
+    for i, t in rows:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            out[i, n, at, len(ids[at : at + 4096])] += 1
+    return out
+
+
+def test_pipeline_runs_whole(spark, tmp_path):
+    """The whole pipeline over a small folder of its own: toxic documents, copies and repeats go, all others are packed, and its scratch goes."""
+    rng = random.Random(2)
+    bad = "idiot moron scum worthless loser stupid pathetic clown trash disgusting".split()
+    vocabulary = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    own = lambda n, more=(): " ".join(rng.sample([*(rng.choice(vocabulary) for _ in range(n)), *more], n + len(more)))
+    rows = [(k, own(150), 0) for k in range(150)] + [(1000 + k, own(40, rng.sample(bad, 7)), 1) for k in range(60)]
+    extra = [(2000, rows[5][1]), (2001, own(60) + " " + " ".join(rows[9][1].split()[20:110]) + " " + own(60)), (None, own(70)), (2002, None), (2003, "")]
+    frame = [(i, t, "en", "s", len(t or "")) for i, t, *_ in [*rows, *extra]]
+    sf = str(tmp_path)
+    spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    labels = [(i, 1, y) for i, _, y in rows if i % 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {i for i, *_ in frame if i is None or not 1000 <= i < 2000}
+    got = corpus_pipeline.run(spark, sf).collect()
+    check_sequences(got)
+    passage = " ".join(rows[9][1].split()[20:110])
+    left = [(i, t) for i, t, *_ in frame if i is None or not 1000 <= i < 2001]
+    texts = {i: t for i, t in left}
+    assert passage in texts[2001]
+    # Texts without words are one group: of 2002 and 2003 the smaller id stays.
+    want = plain_packing([(i, t) for i, t in left if i not in (2001, 2003)])
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in got if r.doc_id != 2001) == want
+    assert 100 < sum(r.length for r in got if r.doc_id == 2001) < 500
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf)
+        assert none.collect() == []
+        none = docs.limit(0) if "text" not in none.columns else none
