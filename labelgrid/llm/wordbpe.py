@@ -41,6 +41,7 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         #: Tokens that the library finds before all else, as written; a chunk with one is left to it.
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.mark = os.path.commonprefix(self.special)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.whole.get_vocab()
@@ -65,21 +66,29 @@ class WordBpe:
         return out
 
     def _chunks(self, new: list[str]) -> dict[str, bytes]:
-        out, split = {}, {}
+        out, plain, split = {}, {}, {}
         for c in new:
+            if c.isascii() and c.isalpha():
+                plain[c] = c.lower()
+                continue
             low = c.lower()
-            if COMMON.fullmatch(low) and not any(t in c for t in self.special):
+            if COMMON.fullmatch(low) and not (self.mark in c and any(t in c for t in self.special)):
                 split[c] = SPLIT.findall(low)
             else:
                 out[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
         known = self.words
-        wanted = list({w for ws in split.values() for w in ws if w not in known})
-        fresh = self._words(wanted)
+        wanted = {w for w in plain.values() if w not in known}
+        wanted.update(w for ws in split.values() for w in ws if w not in known)
+        fresh = self._words(list(wanted))
         if len(known) + len(fresh) <= WORDS:
             known.update(fresh)
-            fresh = known
+        else:
+            used = {*plain.values(), *(w for ws in split.values() for w in ws)}
+            known = {w: fresh[w] if w in fresh else known[w] for w in used}
+        for c, w in plain.items():
+            out[c] = known[w]
         for c, ws in split.items():
-            out[c] = b"".join([known[w] if w in known else fresh[w] for w in ws])
+            out[c] = b"".join([known[w] for w in ws])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
