@@ -92,7 +92,7 @@ def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col:
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.deal(docs, lambda: per_worker(f"split {pattern}", lambda: splitter(pattern)), n)
+    dealt = blocks.deal(docs, lambda: per_worker(f"bpe split {pattern}", lambda: splitter(pattern)), n)
 
     def encode(batches):
         enc = per_worker(f"bpe {path} {pattern}", lambda: _encoder(path, pattern))

@@ -19,9 +19,14 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def per_worker(key: str, make):
-    """``make()`` once per Python worker; shipped code is unpickled per task, so its globals don't last."""
+    """``make()`` once per Python worker; shipped code is unpickled per task, so its globals don't last.
+
+    A key's first word is its operator; workers serve one stage after the other, and what another operator kept goes.
+    """
     kept = sys.__dict__.setdefault("_labelgrid_kept", {})
     if key not in kept:
+        for other in [k for k in kept if k.split()[0] != key.split()[0]]:
+            del kept[other]
         kept[key] = make()
     return kept[key]
 
