@@ -40,13 +40,18 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 @contextmanager
 def scratch():
-    """Removes on leaving what ``materialize`` wrote inside, but for the frames put into the list that this gives."""
+    """Removes on leaving what ``materialize`` wrote inside, but for the frames put into the list that this gives.
+
+    Those are up to the scratch around this one, if there is one.
+    """
     written, kept = [], []
     _open.append(written)
     try:
         yield kept
     finally:
-        _open.remove(written)
+        _open.pop()
+        if _open:
+            _open[-1].extend(kept)
         left = {_root(f) for df in kept for f in df.inputFiles()}
         for df in written:
             if not {_root(f) for f in df.inputFiles()} & left:
