@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm.common import row_key
-from labelgrid.plans.materialize import materialize
+from labelgrid.plans.materialize import materialize, scratch
 
 #: Leading tokens that lead to a leaf; all of a shorter line, where those take part.
 LEADING = 3
@@ -71,20 +71,23 @@ def _templates(kinds: DataFrame, min_docs: int) -> DataFrame:
 
 def recurring_lines(df: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, shortest: int = LEADING) -> DataFrame:
     """``rk, drop``: the positions of lines to drop, ascending, for each document that has any."""
-    docs = df.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    lines = materialize(_lines(docs, shortest), "lines")
-    # Which leaves occur in enough documents: keys only, combined before the shuffle.
-    often = lines.groupBy(*LEAF, "rk").agg(F.lit(1).alias("one")).groupBy(*LEAF).count()
-    often = materialize(often.where(F.col("count") >= min_docs).select(*LEAF), "line-leaves")
-    hot = materialize(lines.join(often, LEAF, "left_semi"), "hot-lines")
-    # Copies of a line count once with their number, so a hot line is one row per task.
-    member = hot.join(_templates(hot.groupBy(*LEAF, "m").count(), min_docs), [*LEAF, "m"]).select(*LEAF, "template", "rk", "doc", "pos")
-    # One row per template: the documents it is in, and its first line.
-    group = [*LEAF, "template"]
-    spread = member.groupBy(*group, "rk").agg(F.min(F.struct("doc", "rk", "pos")).alias("f")).groupBy(*group).agg(F.count("*").alias("docs"), F.min("f").alias("f"))
-    spread = materialize(spread.where(F.col("docs") >= min_docs).select(*group, F.col("f.rk").alias("first_rk"), F.col("f.pos").alias("first_pos")), "line-spread")
-    drop = member.join(spread, group).where((F.col("rk") != F.col("first_rk")) | (F.col("pos") != F.col("first_pos")))
-    return drop.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    with scratch() as kept:  # the lines go, the positions stay
+        docs = df.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+        lines = materialize(_lines(docs, shortest), "lines")
+        # Which leaves occur in enough documents: keys only, combined before the shuffle.
+        often = lines.groupBy(*LEAF, "rk").agg(F.lit(1).alias("one")).groupBy(*LEAF).count()
+        often = materialize(often.where(F.col("count") >= min_docs).select(*LEAF), "line-leaves")
+        hot = materialize(lines.join(often, LEAF, "left_semi"), "hot-lines")
+        # Copies of a line count once with their number, so a hot line is one row per task.
+        member = hot.join(_templates(hot.groupBy(*LEAF, "m").count(), min_docs), [*LEAF, "m"]).select(*LEAF, "template", "rk", "doc", "pos")
+        # One row per template: the documents it is in, and its first line.
+        group = [*LEAF, "template"]
+        spread = member.groupBy(*group, "rk").agg(F.min(F.struct("doc", "rk", "pos")).alias("f")).groupBy(*group).agg(F.count("*").alias("docs"), F.min("f").alias("f"))
+        spread = materialize(spread.where(F.col("docs") >= min_docs).select(*group, F.col("f.rk").alias("first_rk"), F.col("f.pos").alias("first_pos")), "line-spread")
+        drop = member.join(spread, group).where((F.col("rk") != F.col("first_rk")) | (F.col("pos") != F.col("first_pos")))
+        out = materialize(drop.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "line-drops")
+        kept.append(out)
+    return out
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, shortest: int = LEADING) -> DataFrame:
