@@ -14,8 +14,8 @@ import numpy as np
 LENGTH, SEED = 100, 24
 SEEDS = LENGTH - SEED + 1  # in a window
 PLACE_BITS = 28
-#: Bytes handled at once; a longer text is cut, so that places in a chunk fit PLACE_BITS.
-CHUNK = 4 << 20
+#: Bytes handled at once, at some 100 bytes of memory each; a longer text is cut, so that places in a chunk fit PLACE_BITS.
+CHUNK = 512 << 10
 
 # Odd 64-bit multipliers.
 M1, M2, M3, M4, BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 
 import pyarrow as pa
@@ -23,14 +25,42 @@ def per_worker(key: str, make):
 
     A key's first word is its operator; workers serve one stage after the other, and what another operator kept goes.
     """
-    kept = sys.__dict__.setdefault("_labelgrid_kept", {})
+    kept = _drop_others(key.split()[0])
     if key not in kept:
-        for other in [k for k in kept if k.split()[0] != key.split()[0]]:
-            del kept[other]
         kept[key] = make()
     return kept[key]
 
 
+def _drop_others(operator: str) -> dict:
+    kept = sys.__dict__.setdefault("_labelgrid_kept", {})
+    for other in [k for k in kept if k.split()[0] != operator]:
+        del kept[other]
+    return kept
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def frugal(operator: str, run):
+    """``run``, a function of batches, in a worker that drops what other operators kept before, and returns its free memory after.
+
+    A worker outlives its task: it waits for the next one, of any stage, with all that it has not returned.
+    """
+
+    def whole(batches):
+        _drop_others(operator)
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A text column as Python strings; NULL is the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import texts
+from labelgrid.llm.common import frugal, texts
 from labelgrid.plans.materialize import discard, materialize, scratch
 
 RADIUS = 2
@@ -187,7 +187,7 @@ def _by_shard(dealt: DataFrame, solve) -> DataFrame:
         if len(keys):
             yield flush(keys, fps)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(frugal("simhash", run), "a long, b long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     kind = df.schema[id_col].dataType.simpleString()
     with scratch() as kept:  # the sketches go, the groups stay
-        docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, fp long, more long, sketch array<long>")
+        docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal("simhash", run), f"id {kind}, node long, fp long, more long, sketch array<long>")
         docs = materialize(docs, "sketched")
         # Repeats of words count in a fingerprint, not in the set: one set may have several, and the least stands for all.
         nodes = materialize(docs.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("fp", "more", "sketch")).alias("s")).select("node", "first", "s.fp", "s.more", "s.sketch"), "nodes")
@@ -329,7 +329,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                     key = sum((fps >> b & 1) << k for k, b in enumerate(bits))
                     yield pa.record_batch([pa.array(fps), *rest, pa.array(np.full(len(fps), n, "i4")), pa.array(key)], names=["fp", "more", "node", "number", "bits"])
 
-        dealt = nodes.select("fp", "more", "node").mapInArrow(deal, "fp long, more long, node long, number int, bits long")
+        dealt = nodes.select("fp", "more", "node").mapInArrow(frugal("simhash", deal), "fp long, more long, node long, number int, bits long")
         edges = _by_shard(dealt, lambda number, rows: _near(rows)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("s_a"))
         right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("s_b"))

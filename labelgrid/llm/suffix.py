@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.llm import anchors
 from labelgrid.llm.anchors import LENGTH
+from labelgrid.llm.common import frugal
 from labelgrid.plans.materialize import materialize
 
 #: Period of the sample; LENGTH is a multiple.
@@ -259,11 +260,11 @@ def remove_repeats(df: DataFrame, on_doc, extra: str, id_col: str = "doc_id", te
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed(df.select(*dict.fromkeys([*keep, id_col, text_col])), id_col, text_col)
     slim = docs.select(F.col(DOC).alias("doc"), F.col(TIE).alias("tie"), F.col(text_col).alias("text"))
-    found = slim.mapInArrow(_find_blocks, STREAM).repartition(n, "seed").sortWithinPartitions("kind", "seed", "body", "doc", "tie", "pos")
-    found = materialize(found.mapInArrow(_settle, STREAM).drop("body"), "blocks")
+    found = slim.mapInArrow(frugal("suffix", _find_blocks), STREAM).repartition(n, "seed").sortWithinPartitions("kind", "seed", "body", "doc", "tie", "pos")
+    found = materialize(found.mapInArrow(frugal("suffix", _settle), STREAM).drop("body"), "blocks")
     want = found.where(F.col("kind") == WANT).groupBy("doc", "tie").agg(F.collect_list(F.struct("seed", "pos")).alias("want"))
-    fetched = slim.join(want, ["doc", "tie"]).mapInArrow(_fetch, "seed long, doc long, tie long, pos long, bytes binary")
-    sorted_ = fetched.repartition(n, "seed").sortWithinPartitions("seed", "doc", "tie", "pos").mapInArrow(_sort_buckets, STREAM)
+    fetched = slim.join(want, ["doc", "tie"]).mapInArrow(frugal("suffix", _fetch), "seed long, doc long, tie long, pos long, bytes binary")
+    sorted_ = fetched.repartition(n, "seed").sortWithinPartitions("seed", "doc", "tie", "pos").mapInArrow(frugal("suffix", _sort_buckets), STREAM)
     spans = found.where(F.col("kind") == SPAN).select("doc", "tie", "pos", "upto").unionByName(sorted_.select("doc", "tie", "pos", "upto"))
     spans = spans.groupBy(F.col("doc").alias(DOC), F.col("tie").alias(TIE)).agg(F.collect_list(F.struct("pos", "upto")).alias(SPANS))
     joined = docs.join(spans, [DOC, TIE], "left").select(*keep, *([text_col] if text_col not in keep else []), SPANS)
@@ -284,7 +285,7 @@ def remove_repeats(df: DataFrame, on_doc, extra: str, id_col: str = "doc_id", te
             yield pa.record_batch([*kept, *[pa.array(c) for c in cols]], names=[*keep, *names])
 
     own = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(finish, f"{own}, {extra}")
+    return joined.mapInArrow(frugal("suffix", finish), f"{own}, {extra}")
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import per_worker, texts
+from labelgrid.llm.common import frugal, per_worker, texts
 from labelgrid.plans.materialize import discard, materialize
 
 #: Labelled documents used for training at most: those of the smallest id hash.
@@ -254,7 +254,7 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([*batch.columns, *[pa.array(p[:, k]) for k in range(width)]], names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in names)
-    return df.mapInArrow(predict, fields)
+    return df.mapInArrow(frugal("toxicity", predict), fields)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:

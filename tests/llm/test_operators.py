@@ -2,16 +2,19 @@ import hashlib
 import math
 import random
 import re
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelgrid.llm import anchors, bpe, lines, lm, media, packing, queries, sharding, simhash, sketches, suffix, toxicity
+from labelgrid.llm import anchors, bpe, common, lines, lm, media, packing, queries, sharding, simhash, sketches, suffix, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -881,3 +884,38 @@ def test_pipeline_runs_whole(spark, tmp_path):
         none = stage(spark, none, sf)
         assert none.collect() == []
         none = docs.limit(0) if "text" not in none.columns else none
+
+
+def test_a_worker_returns_what_it_no_longer_needs():
+    """Before a stage what other operators kept goes, after it the memory that is free; its own stays."""
+    anonymous = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    common.per_worker("one x", lambda: 1)
+
+    def run(batches):
+        common.per_worker("two x", lambda: 2)
+        small = [np.ones(4000) for _ in range(4000)]  # 128 MB below the size that malloc maps, freed around what stays
+        stays = [small[k].copy() for k in range(0, 4000, 400)]
+        yield from batches
+        del small
+        yield stays
+
+    before = anonymous()
+    kept = list(common.frugal("two", run)([1, 2]))
+    assert kept[:2] == [1, 2] and anonymous() - before < 40
+    assert sorted(sys._labelgrid_kept) == ["two x"]
+    del sys._labelgrid_kept["two x"]
+
+
+def test_blocks_are_found_in_little_memory():
+    """The task's memory is that of a chunk and of the blocks, some of it for each byte of a chunk."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=1_000_000)) for _ in range(6)]
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array([0] * 6, pa.int64()), pa.array(texts)], names=["doc", "tie", "text"])
+    anchors._powers.clear()
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in suffix._find_blocks([batch]))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert n > 100_000 and peak < 150, peak
