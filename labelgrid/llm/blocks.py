@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelgrid.llm.common import frugal
+
 #: Code points of a block's texts, at most (a longer text is a block of its own).
 BLOCK_CHARS = 16_000_000
 
@@ -88,7 +90,7 @@ def recoded(places: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndar
     counts = np.bincount(flat, minlength=n_words)
     code = np.empty(n_words, "u4")
     code[np.argsort(-counts, kind="stable")] = np.arange(1, n_words + 1)
-    return np.where(counts[flat] == 1, 0, code[flat]).astype("u4"), code, counts
+    return np.where(counts == 1, np.uint32(0), code)[flat], code, counts
 
 
 def resolve(codes: np.ndarray, n_words: int) -> np.ndarray:
@@ -99,7 +101,21 @@ def resolve(codes: np.ndarray, n_words: int) -> np.ndarray:
     return out - 1
 
 
-def deal(docs: DataFrame, tokens: Callable[[], Callable[[str], list]], n: int, weigh=None) -> DataFrame:
+def parts(sizes: np.ndarray, codes: np.ndarray, n_words: int, limit: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """A block's documents a to b, up to ``limit`` tokens or one document, and the numbers of their words (as ``resolve``)."""
+    stops, a, at = np.cumsum(sizes), 0, 0
+    once = n_words - int(np.count_nonzero(codes == 0))  # the number of the next word that occurs once
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(stops, at + limit, "right")))
+        out = codes[at : stops[b - 1]].astype("i8") - 1
+        zeros = np.flatnonzero(out < 0)
+        out[zeros] = np.arange(once, once + len(zeros))
+        yield a, b, out
+        once += len(zeros)
+        a, at = b, int(stops[b - 1])
+
+
+def deal(operator: str, docs: DataFrame, tokens: Callable[[], Callable[[str], list]], n: int, weigh=None) -> DataFrame:
     """``docs`` (id, text) as rows of words by bucket and rows of places by block, dealt to ``n`` partitions.
 
     ``tokens()`` makes the function from a text to its tokens (bytes or str) in the worker.  ``weigh(id)`` marks
@@ -136,7 +152,7 @@ def deal(docs: DataFrame, tokens: Callable[[], Callable[[str], list]], n: int, w
                 for k in range(0, len(out), 64):
                     yield rows(out[k : k + 64], ids.type)
 
-    return docs.select("id", "text").mapInArrow(run, schema(kind)).repartitionById(n, F.col("key") % n)  # a bucket a partition, none shared
+    return docs.select("id", "text").mapInArrow(frugal(operator, run), schema(kind)).repartitionById(n, F.col("key") % n)  # a bucket a partition, none shared
 
 
 def _runs(texts) -> Iterator[tuple[int, int]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm import blocks
-from labelgrid.llm.common import per_worker
+from labelgrid.llm.common import frugal, per_worker
 
 # Unicode white space, and the letters, numbers and white space up to U+017F.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -77,6 +77,8 @@ def _encoder(path: str, pattern: str):
 
 #: Words that a bucket remembers; more are encoded again.
 KNOWN = 500_000
+#: Words of a block that are put together at once; a document of more is a part of its own.
+PART = 500_000
 
 
 def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +94,7 @@ def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col:
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.deal(docs, lambda: per_worker(f"bpe split {pattern}", lambda: splitter(pattern)), n)
+    dealt = blocks.deal("bpe", docs, lambda: per_worker(f"bpe split {pattern}", lambda: splitter(pattern)), n)
 
     def encode(batches):
         enc = per_worker(f"bpe {path} {pattern}", lambda: _encoder(path, pattern))
@@ -119,25 +121,25 @@ def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col:
             cols[4] = pa.array(body, pa.binary())
             yield pa.record_batch(cols, names=batch.schema.names)
 
-    gathered = blocks.gather(dealt.mapInArrow(encode, blocks.schema(kind)), n)
+    gathered = blocks.gather(dealt.mapInArrow(frugal("bpe", encode), blocks.schema(kind)), n)
 
     def assemble(batches):
-        """One row per block: ids of documents, how many tokens each has, and all their ids."""
+        """Rows of documents that follow each other in a block: their ids, how many tokens each has, and all their ids."""
 
         def done(ids, sizes, codes, n_words, answers):
-            size, flat, start, at = np.zeros(n_words, "i8"), [], np.zeros(n_words, "i8"), 0
+            size, flat, start, at = np.zeros(n_words, "u4"), [], np.zeros(n_words, "i8"), 0
             for c, s, f in answers:
-                c, s, f = blocks.unpack(c).astype("i8") - 1, blocks.unpack(s).astype("i8"), blocks.unpack(f)
-                size[c], start[c] = s, at + np.cumsum(s) - s
+                c, s, f = blocks.unpack(c) - 1, blocks.unpack(s), blocks.unpack(f)
+                size[c], start[c] = s, at + np.cumsum(s, dtype="i8") - s
                 at += len(f)
                 flat.append(f)
             flat = np.concatenate(flat) if flat else np.empty(0, "u4")
-            words = blocks.resolve(codes, n_words)
-            s = size[words]
-            pick = np.repeat(start[words] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-            stops = np.concatenate([[0], np.cumsum(s)])[np.cumsum(sizes)]
-            row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.record_batch([row, pa.array([stops.tobytes()], pa.binary()), pa.array([flat[pick].astype("<u4").tobytes()], pa.binary())], names=["ids", "stops", "tokens"])
+            for a, b, words in blocks.parts(sizes, codes, n_words, PART):
+                s = size[words].astype("i8")
+                pick = np.repeat(start[words] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+                stops = np.concatenate([[0], np.cumsum(s)])[np.cumsum(sizes[a:b])]
+                row = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a))
+                yield pa.record_batch([row, pa.array([stops.tobytes()], pa.binary()), pa.array([flat[pick].astype("<u4").tobytes()], pa.binary())], names=["ids", "stops", "tokens"])
 
         yield from blocks.per_block(batches, done)
 
@@ -153,9 +155,9 @@ def encoded(df: DataFrame, path: str, pattern: str, on_doc, extra: str, id_col:
                 cols = list(zip(*out)) or [[] for _ in names]
                 yield pa.record_batch([batch.column("ids").slice(k, 1).flatten(), *[pa.array(c) for c in cols]], names=["id", *names])
 
-    whole = gathered.mapInArrow(assemble, f"ids array<{kind}>, stops binary, tokens binary")
+    whole = gathered.mapInArrow(frugal("bpe", assemble), f"ids array<{kind}>, stops binary, tokens binary")
     joined = whole.crossJoin(F.broadcast(token_bytes(df.sparkSession, path)))  # one row, of the vocabulary's size
-    return joined.mapInArrow(finish, f"id {kind}, {extra}").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(frugal("bpe", finish), f"id {kind}, {extra}").withColumnRenamed("id", id_col)
 
 
 #: Name of the column with the bytes of all tokens.

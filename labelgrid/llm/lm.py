@@ -451,7 +451,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.deal(docs, lambda: words, n, in_training)
+    dealt = blocks.deal("lm", docs, lambda: words, n, in_training)
     joined = blocks.gather(dealt.mapInArrow(_count, blocks.schema(kind)), n).mapInArrow(_join_blocks, blocks.schema(kind))
     found = materialize(joined, "lm-blocks")
     lexicon = lexicon_of(found)

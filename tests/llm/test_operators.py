@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelgrid.llm import anchors, bpe, common, lines, lm, media, packing, queries, sharding, simhash, sketches, suffix, toxicity
+from labelgrid.llm import anchors, blocks, bpe, common, lines, lm, media, packing, queries, sharding, simhash, sketches, suffix, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -919,3 +919,23 @@ def test_blocks_are_found_in_little_memory():
     finally:
         tracemalloc.stop()
     assert n > 100_000 and peak < 150, peak
+
+
+def test_parts_of_a_block_are_the_whole_block():
+    places = [np.array(p, "u4") for p in ([0, 1, 0, 2], [], [3, 0, 4], [1], [], [5, 5, 6], [])]
+    codes, _, _ = blocks.recoded(places, 7)
+    sizes, whole = np.array([len(p) for p in places]), blocks.resolve(codes, 7)
+    for limit in (1, 2, 4, 5, 100):
+        got = list(blocks.parts(sizes, codes, 7, limit))
+        assert [a for a, _, _ in got] == [0, *(b for _, b, _ in got)][: len(got)] and got[-1][1] == len(sizes)
+        assert all(len(w) == sizes[a:b].sum() and (len(w) <= limit or b == a + 1) for a, b, w in got)
+        assert np.concatenate([w for _, _, w in got]).tolist() == whole.tolist()
+
+
+def test_bpe_joins_small_parts(spark, edge, monkeypatch):
+    """A block's documents come in several rows, none of more words than a part but for a long document, and no row is lost."""
+    plain = bpe.encoded(edge, RANKS, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST)
+    monkeypatch.setattr(bpe, "PART", 30)
+    cut = bpe.encoded(edge, RANKS, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256)
+    assert sorted(map(key, cut.collect())) == sorted(map(key, plain.collect()))
