@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm import blocks
+from labelgrid.llm.common import frugal
 from labelgrid.plans.materialize import materialize
 
 VOCAB = 2  # a kind of rows, beside blocks.WORDS and blocks.PLACES
@@ -178,8 +179,8 @@ class Block:
         self.counts, hashes, shapes = _read_table(table)
         self.sizes = blocks.unpack(sizes).astype("i8")
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.word = word = blocks.resolve(blocks.unpack(codes), len(self.counts))
-        self.cls, bucket = lexicon.classes(self.counts, hashes, shapes), lexicon.buckets(self.counts, hashes)
+        self.word = word = blocks.resolve(blocks.unpack(codes), len(self.counts)).astype("i4")  # a token's numbers are many
+        self.cls, bucket = (x.astype("i4") for x in (lexicon.classes(self.counts, hashes, shapes), lexicon.buckets(self.counts, hashes)))
         self.name = _mixed(hashes.astype("u8") << np.uint64(32) ^ self.counts.astype("u8"))
         end = word[self.sizes[0] - 1]  # a document follows the end of another
         self.prev = np.concatenate([[end], word[:-1]])
@@ -282,8 +283,8 @@ def feature_counts(found: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b, part in sums.items():
             yield pa.record_batch([pa.array([b]), pa.array([zstandard.compress(part.tobytes())], pa.binary())], names=["one", "body"])
 
-    parts = _rows_of(found, blocks.PLACES).select("body", "ids").mapInArrow(cells, "one long, body binary")
-    return materialize(parts.repartition(16, "one").mapInArrow(add, "one long, body binary"), "cells")
+    parts = _rows_of(found, blocks.PLACES).select("body", "ids").mapInArrow(frugal("lm", cells), "one long, body binary")
+    return materialize(parts.repartition(16, "one").mapInArrow(frugal("lm", add), "one long, body binary"), "cells")
 
 
 def _sums(cells: DataFrame, of) -> list[np.ndarray]:
@@ -376,7 +377,7 @@ def _deal_pairs(found: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
                     yield blocks.rows(out[k : k + 64], kind)
 
     kind = found.schema["ids"].dataType.elementType.simpleString()
-    return _rows_of(found, blocks.PLACES).mapInArrow(run, blocks.schema(kind)).repartitionById(n, "key")
+    return _rows_of(found, blocks.PLACES).mapInArrow(frugal("lm", run), blocks.schema(kind)).repartitionById(n, "key")
 
 
 def fit_pairs(trained: np.ndarray, share: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -405,15 +406,17 @@ def _fit_dealt(mass: np.ndarray):
     """Fits all pairs of a task and answers each block with log10 sums by document."""
 
     def run(batches):
-        held, kind = [], None
+        held, found, kind = [], [], None
         for batch in batches:
             kind = batch.column("ids").type.value_type
             for number, raw in zip(batch.column("block").to_pylist(), batch.column("body")):
                 low, high, *rest = blocks.unbundle(raw.as_py())
-                held.append((number, np.cumsum(_narrow(low, high)), _narrow(*rest[:2]), *(blocks.unpack(x) for x in rest[2:])))
+                found.append((np.cumsum(_narrow(low, high)), _narrow(*rest[:2]), blocks.unpack(rest[2]), blocks.unpack(rest[3])))
+                held.append((number, len(found[-1][0]), *rest[4:]))  # still packed
         if not held:
             return
-        key, counts, cls, trained = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
+        key, counts, cls, trained = (np.concatenate(c) for c in zip(*found))
+        del found
         order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[order[1:]] != key[order[:-1]]
@@ -424,10 +427,12 @@ def _fit_dealt(mass: np.ndarray):
         group = key[lead] >> WORD_BITS
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         value = fit_pairs(np.add.reduceat(trained[order].astype("f8"), first), counts[lead] / mass[cls[lead]], starts)[pair] / np.log(10)
+        del key, counts, cls, trained, order, new, first, pair, lead, group
         at = 0
-        for number, keys, _, _, _, times, doc in held:
-            sums = np.bincount(doc, np.repeat(value[at : at + len(keys)], times))
-            at += len(keys)
+        for number, size, times, doc in held:
+            doc = blocks.unpack(doc)
+            sums = np.bincount(doc, np.repeat(value[at : at + size], blocks.unpack(times)))
+            at += size
             some = np.unique(doc)
             body = blocks.bundle(blocks.pack(some), zstandard.compress(sums[some].tobytes()))
             yield blocks.rows([(0, number, blocks.WORDS, 0, body, None)], kind)
@@ -452,7 +457,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = df.schema[id_col].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.deal("lm", docs, lambda: words, n, in_training)
-    joined = blocks.gather(dealt.mapInArrow(_count, blocks.schema(kind)), n).mapInArrow(_join_blocks, blocks.schema(kind))
+    joined = blocks.gather(dealt.mapInArrow(frugal("lm", _count), blocks.schema(kind)), n).mapInArrow(frugal("lm", _join_blocks), blocks.schema(kind))
     found = materialize(joined, "lm-blocks")
     lexicon = lexicon_of(found)
     mass = class_mass(found, lexicon)
@@ -461,7 +466,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def by_class(batches):
         """Of each block: tokens, known ones, base score and class score by document."""
-        table = (model.log_probs(np.arange(BUCKETS)) / np.log(10)).reshape(-1, CLASSES).astype("float32")
+        table = np.concatenate([(model.log_probs(x) / np.log(10)).reshape(-1, CLASSES).astype("float32") for x in np.split(np.arange(BUCKETS), 8)])
         for batch in batches:
             for raw, number, ids in zip(batch.column("body"), batch.column("block").to_pylist(), batch.column("ids").to_pylist()):
                 b = Block(raw.as_py(), lexicon)
@@ -488,7 +493,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 held = [not in_training(i) for i in mine.to_pylist()]
                 yield pa.record_batch([mine, pa.array(held, pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score), pa.array((score - base) / sizes)], names=["id", *names])
 
-    within = _deal_pairs(found, lexicon, n).mapInArrow(_fit_dealt(mass), blocks.schema(kind))
-    own = _rows_of(found, blocks.PLACES).mapInArrow(by_class, blocks.schema(kind))
+    within = _deal_pairs(found, lexicon, n).mapInArrow(frugal("lm", _fit_dealt(mass)), blocks.schema(kind))
+    own = _rows_of(found, blocks.PLACES).mapInArrow(frugal("lm", by_class), blocks.schema(kind))
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, gain double"
-    return blocks.gather(within.union(own), n).mapInArrow(total, schema).withColumnRenamed("id", id_col)
+    return blocks.gather(within.union(own), n).mapInArrow(frugal("lm", total), schema).withColumnRenamed("id", id_col)

@@ -939,3 +939,21 @@ def test_bpe_joins_small_parts(spark, edge, monkeypatch):
     cut = bpe.encoded(edge, RANKS, public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST)
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256)
     assert sorted(map(key, cut.collect())) == sorted(map(key, plain.collect()))
+
+
+def test_lm_block_is_a_few_bytes_a_token():
+    """A block of a million tokens in memory: four numbers of four bytes a token, and the steps to them."""
+    rng = np.random.default_rng(3)
+    drawn = np.unique(rng.zipf(1.3, 1_000_000).clip(1, 5000), return_inverse=True)[1].astype("u4")
+    places = np.split(drawn, 100)
+    codes, _, counts = blocks.recoded(places, int(drawn.max()) + 1)
+    table = lm._table([(b"w%d" % k, int(c) * 3) for k, c in enumerate(sorted(counts.tolist(), reverse=True))])
+    body = blocks.bundle(blocks.pack(np.array([len(p) for p in places], "u4")), blocks.pack(codes), table)
+    tracemalloc.start()
+    try:
+        block = lm.Block(body, lm.Lexicon(3_000_000, len(counts), 10, 10, [(zlib.crc32(b"w0"), int(counts.max()) * 3)]))
+        held, peak = (x / 1e6 for x in tracemalloc.get_traced_memory())
+    finally:
+        tracemalloc.stop()
+    assert len(block.word) == 1_000_000 and block.counts[block.word].sum() == (3 * counts.astype("i8") ** 2).sum()
+    assert held < 20 and peak < 32, (held, peak)
