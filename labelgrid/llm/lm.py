@@ -47,6 +47,8 @@ EASE = 5.0
 PAIR_ROUNDS, PRIOR, STEP = 16, 0.2, 2.0
 #: Bits of a pair's key that name the word; 32 more name the word before and the class.
 WORD_BITS = 24
+#: Tokens whose keys are made at once.
+SLICE = 1 << 18
 
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -331,10 +333,14 @@ def train(cells: DataFrame, rounds: int = ROUNDS) -> Model:
 
 def pair_keys(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the tokens ``at``: what their pairs are dealt by, and their keys (word before and class, then word)."""
-    word = block.word[at]
-    group = _mixed(block.name[block.prev[at]] + block.cls[word].astype("u8"))
-    low = np.uint64((1 << WORD_BITS) - 1)
-    return (group >> np.uint64(32)).astype("u4"), (group & np.uint64(0xFFFFFFFF)) << np.uint64(WORD_BITS) | block.name[word] & low
+    low, dealt, keys = np.uint64((1 << WORD_BITS) - 1), np.empty(len(at), "u4"), np.empty(len(at), "u8")
+    for a in range(0, len(at), SLICE):
+        some = at[a : a + SLICE]
+        word = block.word[some]
+        group = _mixed(block.name[block.prev[some]] + block.cls[word].astype("u8"))
+        dealt[a : a + SLICE] = group >> np.uint64(32)
+        keys[a : a + SLICE] = (group & np.uint64(0xFFFFFFFF)) << np.uint64(WORD_BITS) | block.name[word] & low
+    return dealt, keys
 
 
 def _pack_keys(keys: np.ndarray) -> list[bytes]:
@@ -350,20 +356,22 @@ def _deal_pairs(found: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
             kind = batch.column("ids").type.value_type
             for raw, number, ids in zip(batch.column("body"), batch.column("block").to_pylist(), batch.column("ids").to_pylist()):
                 b = Block(raw.as_py(), lexicon)
-                at = np.flatnonzero((b.cls > TOP)[b.word])
+                del b.one, b.two
+                at = np.flatnonzero((b.cls > TOP)[b.word]).astype("i4")
                 if not len(at):
                     continue
                 part, key = pair_keys(b, at)
                 part %= n
-                order = np.argsort(key)
+                order = np.argsort(key).astype("i4")
                 order = order[np.argsort(part[order].astype("u2" if n <= 1 << 16 else "u4"), kind="stable")]
                 part, key, at = part[order], key[order], at[order]
-                doc = np.repeat(np.arange(len(b.sizes)), b.sizes)[at]
-                used = np.array([in_training(i) for i in ids], "i8")[doc]
+                del order
+                doc = np.repeat(np.arange(len(b.sizes), dtype="i4"), b.sizes)[at]
+                used = np.array([in_training(i) for i in ids], bool)[doc]
                 new = np.ones(len(at), bool)
                 new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
                 first = np.flatnonzero(new)
-                times, trained = np.diff(first, append=len(at)), np.add.reduceat(used, first)
+                times, trained = np.diff(first, append=len(at)), np.add.reduceat(used, first, dtype="i8")
                 words = b.word[at[first]]
                 counts, cls = b.counts[words], b.cls[words]
                 cuts = np.flatnonzero(np.diff(part[first])) + 1

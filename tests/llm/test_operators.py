@@ -957,3 +957,25 @@ def test_lm_block_is_a_few_bytes_a_token():
         tracemalloc.stop()
     assert len(block.word) == 1_000_000 and block.counts[block.word].sum() == (3 * counts.astype("i8") ** 2).sum()
     assert held < 20 and peak < 32, (held, peak)
+
+
+def test_lm_pair_keys_need_little_memory():
+    """Keys of a million tokens: the twelve bytes of each that are returned, and the steps to them a slice at a time."""
+    rng = np.random.default_rng(4)
+
+    class Few:
+        name, cls = rng.integers(0, 2**63, 5000).astype("u8"), rng.integers(0, 121, 5000).astype("i4")
+        word = rng.integers(0, 5000, 1_000_000).astype("i4")
+        prev = np.roll(word, 1)
+
+    at = np.arange(1_000_000, dtype="i4")
+    tracemalloc.start()
+    try:
+        dealt, keys = lm.pair_keys(Few, at)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    group = lm._mixed(Few.name[Few.prev] + Few.cls[Few.word].astype("u8"))
+    assert (dealt == group >> np.uint64(32)).all() and (keys >> np.uint64(24) == group & np.uint64(0xFFFFFFFF)).all()
+    assert (keys & np.uint64(0xFFFFFF) == Few.name[Few.word] & np.uint64(0xFFFFFF)).all()
+    assert peak < 28, peak
